@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from timbrewell.llm.common import RangeGroups
 
 PIECE = 64
+#: Groups whose bounds (some 32 bytes each) are broadcast at most; beyond it they are joined by shuffle.
+BROADCAST_GROUPS = 200_000
 
 
 def _sql(text: str) -> str:
@@ -84,17 +86,16 @@ def with_next(docs: DataFrame, rows_each: int = 1000) -> DataFrame:
             (F.coalesce("_own", "_left").isNull()).cast("int").alias("_last"),
         )
     )
+    if groups.count <= BROADCAST_GROUPS:
+        before = F.broadcast(before)
     joined = keyed.join(before, (F.col("_group") == F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("_f")), "left")
     own = F.struct(F.col("_group").alias("g"), F.lit(0).alias("late"), F.lit(False).alias("copy"))
     copy = F.struct(F.col("_to").alias("g"), F.col("_last").alias("late"), F.lit(True).alias("copy"))
     spread = joined.withColumn("_p", F.explode(F.when(F.col("_to").isNotNull(), F.array(own, copy)).otherwise(F.array(own))))
-    by = Window.partitionBy("_p.g").orderBy("_p.late", F.col("doc_id").asc_nulls_first(), "_p.copy", "text")
-    return (
-        spread.withColumn("next_text", F.lead("text").over(by))
-        .withColumn("next_fp", F.lead("fingerprint").over(by))
-        .where(~F.col("_p.copy"))
-        .drop("_group", "_g", "_f", "_to", "_last", "_p")
-    )
+    dealt = spread.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_p.g").alias("_to"), F.col("_p.late").alias("_late"), F.col("_p.copy").alias("_copy"))
+    by = Window.partitionBy("_to").orderBy("_late", F.col("doc_id").asc_nulls_first(), "_copy", "text")
+    ahead = {"next_text": F.lead("text").over(by), "next_fp": F.lead("fingerprint").over(by)}
+    return dealt.withColumns(ahead).where(~F.col("_copy")).drop("_to", "_late", "_copy")
 
 
 def fingerprints(docs: DataFrame, rows_each: int = 1000) -> DataFrame:
