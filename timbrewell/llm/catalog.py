@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timbrewell.llm import chat, fingerprints, lines, packing, quality_rules, varbyte
+from timbrewell.llm import chat, fingerprints, lines, packing, passages, quality_rules, varbyte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return varbyte.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.with_probe(_table(spark, sf_dir, "conversations")))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_document_fingerprints,
         op6_line_dedup,
         op8_token_files,
+        op9_suffix_array_dedup,
         op10_chat_formatting,
     )
 }

@@ -46,12 +46,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+def durable_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors. Also its path."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back."""
+    return durable_at(df, name)[0]
 
 
 def smaller_batches(spark: SparkSession, rows: int = 1000) -> None:
