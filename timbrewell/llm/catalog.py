@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timbrewell.llm import chat, fingerprints, lines, packing, passages, quality_rules, varbyte
+from timbrewell.llm import chat, fingerprints, jaccard, lines, packing, passages, quality_rules, varbyte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_rules,
         op2_best_fit_packing,
         op3_document_fingerprints,
+        op5_ngram_jaccard_join,
         op6_line_dedup,
         op8_token_files,
         op9_suffix_array_dedup,
@@ -56,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op3_document_fingerprints": fingerprints.ORACLE,
+    "op5_ngram_jaccard_join": jaccard.ORACLE,
     "op6_line_dedup": lines.ORACLE,
 }
