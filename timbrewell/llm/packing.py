@@ -33,14 +33,15 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of each document; only documents over the capacity are cut, the first piece is the rest."""
-    smaller_batches(docs.sparkSession)
+    smaller_batches(docs.sparkSession, 4000)
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens(tokenizer)
-        ids_of = encoder.encode([x or "" for x in batch["text"].to_pylist()])
+        every, bounds = encoder.encode(batch["text"])
+        every, closing = every.astype("<u4"), np.array([end_id], "<u4")
         rows: list[tuple] = []
-        for doc, raw in zip(batch["doc_id"].to_pylist(), ids_of, strict=True):
-            ids = np.append(np.frombuffer(raw, "<u2"), np.uint16(end_id)).astype("<u4")
+        for doc, a, b in zip(batch["doc_id"].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            ids = np.concatenate([every[a:b], closing])
             at, piece, first = 0, 0, len(ids) % capacity or min(capacity, len(ids))
             while at < len(ids):
                 end = at + (first if piece == 0 else capacity)

@@ -86,7 +86,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame,
 
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u2").tobytes()
-        ids = [x + end for x in word_tokens(tokenizer, True).encode([x or "" for x in batch["text"].to_pylist()])]
+        every, bounds = word_tokens(tokenizer, True).encode(batch["text"])
+        ids = [every[a:b].tobytes() + end for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
         yield pa.RecordBatch.from_arrays([batch["grp"], batch["doc_id"], crc, pa.array(ids, pa.binary())], ["grp", "doc_id", "crc", "ids"])
 
@@ -116,7 +117,7 @@ def frequencies(rows: DataFrame) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Files of blocks at path/blocks and the dictionary at path/dictionary."""
     spark = docs.sparkSession
-    smaller_batches(spark)
+    smaller_batches(spark, 4000)
     rows, _ = tokenized(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id)
     order = frequencies(rows)
     rank = np.zeros(1 << 16, np.uint32)
