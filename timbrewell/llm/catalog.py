@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timbrewell.llm import chat, fingerprints, jaccard, lines, packing, passages, quality_rules, varbyte
+from timbrewell.llm import chat, fingerprints, jaccard, lines, packing, passages, pieces, quality_rules, shards, varbyte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return varbyte.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -51,8 +59,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_rules,
         op2_best_fit_packing,
         op3_document_fingerprints,
+        op4_size_tiered_sharding,
         op5_ngram_jaccard_join,
         op6_line_dedup,
+        op7_sentencepiece_sampling,
         op8_token_files,
         op9_suffix_array_dedup,
         op10_chat_formatting,
