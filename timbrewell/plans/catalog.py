@@ -5,6 +5,7 @@ Doubles are rounded to six places on both sides, since sums of doubles depend on
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -626,6 +627,21 @@ def voice_releases(spark, sf_dir):
     return voices.releases(rows.where("is_on").drop("is_on"), rows.where("NOT is_on").drop("is_on"))
 
 
+@query(f"""WITH {_PLAYED}, o AS (SELECT *, (row_number() OVER (PARTITION BY session ORDER BY seq) - 1) % 6 AS channel FROM p WHERE is_on),
+u AS (SELECT *, lead(seq) OVER (PARTITION BY session, channel ORDER BY seq) AS until FROM o),
+f AS (SELECT u.session, u.note, u.channel, u.seq, min(q.seq) AS off_seq FROM u JOIN p q ON NOT q.is_on AND q.session = u.session AND q.note = u.note AND q.seq > u.seq AND (u.until IS NULL OR q.seq < u.until) GROUP BY ALL)
+SELECT session, seq, note, true AS is_on, CAST(channel AS INT) AS channel FROM o UNION ALL SELECT session, off_seq, note, false, CAST(channel AS INT) FROM f""")
+def voice_stream(spark, sf_dir):
+    """The events as a stream, with the state of each session, into a memory table."""
+    source = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
+    played = events.selectExpr("event_id AS seq", "user_id % 7 AS session", "CAST(event_id % 5 AS INT) + 60 AS note", "event_id % 3 <> 0 AS is_on")
+    name = f"voices_{uuid.uuid4().hex}"
+    stream = voices.stream_voices(played).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.table(name)
+
+
 @query(f"WITH {_PLAYED}, l AS (SELECT *, lag(is_on) OVER (PARTITION BY session, note ORDER BY seq) AS b FROM p) SELECT session, note AS key, seq FROM l WHERE is_on AND NOT coalesce(b, false)")
 def key_presses(spark, sf_dir):
     rows = _played(spark, sf_dir).withColumnsRenamed({"note": "key", "is_on": "down"})
@@ -638,6 +654,63 @@ def slot_store(spark, sf_dir):
     return voices.last_slots(rows)
 
 
+@query("SELECT c_custkey, CAST((greatest(0, least(7, c_custkey % 11 - 1)) + 1) * 12 + c_custkey % 13 AS INT) AS note FROM customer")
+def midi_notes(spark, sf_dir):
+    k = F.col("c_custkey")
+    return views.table(spark, sf_dir, "customer").select("c_custkey", synth.midi_note(k % 11 - 1, k % 13).cast("int").alias("note"))
+
+
+def _grey_sql() -> str:
+    parts = [f"CAST(('0x' || substring(c, {k}, 2)) AS INT)" for k in (2, 4, 6)]
+    grey = f"(({' + '.join(parts)}) / 3::DOUBLE)"
+    mixed = ", ".join(f"CAST(floor({p} + ({grey} - {p}) * 0.7::DOUBLE + 0.5) AS INT)" for p in parts)
+    return f"WITH n AS (SELECT n_nationkey, '#' || printf('%02x%02x%02x', n_nationkey * 10, n_nationkey * 7, 255 - n_nationkey * 9) AS c FROM nation) SELECT n_nationkey, c AS colour, '#' || printf('%02x%02x%02x', {mixed}) AS grey FROM n"
+
+
+@query(_grey_sql())
+def greyed_colours(spark, sf_dir):
+    colour = F.format_string("#%02x%02x%02x", F.col("n_nationkey") * 10, F.col("n_nationkey") * 7, F.lit(255) - F.col("n_nationkey") * 9)
+    return views.table(spark, sf_dir, "nation").select("n_nationkey", colour.alias("colour")).withColumn("grey", display.greyed(F.col("colour"), 0.7))
+
+
+@query(f"{SCORED} SELECT preset_id, coalesce(Composer, 'Unknown') AS composer, coalesce(CASE Nationality WHEN 'Japan' THEN 'JP' WHEN 'USA' THEN 'US' WHEN 'UK' THEN 'UK' END, '??') AS flag, CASE WHEN Uses_GEMS THEN 'Yes' ELSE 'No' END AS gems FROM e")
+def display_defaults(spark, sf_dir):
+    return enriched(spark, sf_dir).select("preset_id", display.or_unknown(F.col("Composer")).alias("composer"), display.country_flag(F.col("Nationality")).alias("flag"), display.yes_no(F.col("Uses_GEMS")).alias("gems"))
+
+
+@query("SELECT coalesce(a.n, b.n) AS n, a.name, b.brand FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS n, c_name AS name FROM customer) a FULL JOIN (SELECT row_number() OVER (ORDER BY p_partkey) AS n, p_brand AS brand FROM part) b ON a.n = b.n")
+def positional_join(spark, sf_dir):
+    """Two tables side by side by an explicit ordinal; the window without groups is over two narrow columns."""
+    left = views.table(spark, sf_dir, "customer").select(F.row_number().over(Window.orderBy("c_custkey")).alias("n"), F.col("c_name").alias("name"))
+    right = views.table(spark, sf_dir, "part").select(F.row_number().over(Window.orderBy("p_partkey")).alias("n"), F.col("p_brand").alias("brand"))
+    return enrich.by_position([left, right], "n")
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT c_mktsegment FROM customer) GROUP BY name")
+def union_counts(spark, sf_dir):
+    parts = [views.table(spark, sf_dir, t).select(F.col(c).alias("name")) for t, c in (("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment"))]
+    return stats.value_counts(enrich.union_all(parts), "name")
+
+
+@query(f"{views.WITH} SELECT Game, Composer, min(ord) AS first_seen FROM d WHERE Composer IS NOT NULL GROUP BY Game, Composer")
+def pack_composers(spark, sf_dir):
+    """Listing pages written from the composers, and read again: one page for each game."""
+    rows = views.composers(spark, sf_dir).where("Composer IS NOT NULL")
+    link = F.format_string('<a href="/packs/composer/%d">%s</a>', "ord", "Composer")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", link.alias("l")))), lambda x: x["l"]), " ")
+    pages = rows.groupBy("Game").agg(body.alias("b"), F.min("ord").alias("page_id"))
+    html = F.concat(F.lit("<h2>"), "Game", F.lit(" (W) / Other</h2>"), "b")
+    found = web.pack_rows(web.packs(pages.select("page_id", html.alias("html"))))
+    firsts = rows.groupBy("Game", "Composer").agg(F.min("ord").alias("first_seen"))
+    return found.select("Game", "Composer").join(firsts, ["Game", "Composer"])
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CAST(l_quantity AS DOUBLE) / 4096, 6) AS gain, round(CAST(l_quantity AS DOUBLE) / 128 * 200 / 2, 6) AS height FROM lineitem")
+def sample_scaling(spark, sf_dir):
+    q = F.col("l_quantity").cast("double")
+    return views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", synth.gain(q).alias("gain"), display.wave_height(q, 200.0).alias("height"))
+
+
 # ---------------------------------------------------------------- learning
 
 _SCALED = FEATURES

@@ -50,21 +50,21 @@ def presses(key_events: DataFrame, session: str = "session", order: str = "seq")
 
 def _allot(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     following, notes = state.get if state.exists else (0, [-1] * CHANNELS)
-    notes = list(notes)
-    for frame in frames:
-        rows = []
-        for seq, note, on in sorted(zip(frame["seq"], frame["note"], frame["is_on"], strict=True)):
-            if on:
-                notes[following] = int(note)
-                rows.append((key[0], int(seq), int(note), True, following))
-                following = (following + 1) % CHANNELS
-            else:
-                for channel in range(CHANNELS):
-                    if notes[channel] == note:
-                        notes[channel] = -1
-                        rows.append((key[0], int(seq), int(note), False, channel))
-        yield pd.DataFrame(rows, columns=["session", "seq", "note", "is_on", "channel"])
+    notes, rows = list(notes), []
+    # a trigger's events of one session come in any order
+    events = pd.concat(list(frames)).sort_values("seq")
+    for seq, note, on in zip(events["seq"], events["note"], events["is_on"], strict=True):
+        if on:
+            notes[following] = int(note)
+            rows.append((key[0], int(seq), int(note), True, following))
+            following = (following + 1) % CHANNELS
+        else:
+            for channel in range(CHANNELS):
+                if notes[channel] == note:
+                    notes[channel] = -1
+                    rows.append((key[0], int(seq), int(note), False, channel))
     state.update((following, notes))
+    yield pd.DataFrame(rows, columns=["session", "seq", "note", "is_on", "channel"])
 
 
 def stream_voices(events: DataFrame) -> DataFrame:
