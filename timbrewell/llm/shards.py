@@ -28,6 +28,8 @@ FAN_IN = 4
 TARGET_BYTES = 128 << 20
 LEAST_BYTES = 1 << 20
 ROWS_A_SHARD = 2000
+#: Files (some 200 bytes each) whose names are broadcast at most; more are joined by shuffle.
+BROADCAST_FILES = 20_000
 
 
 def tier(size: int, least: int = LEAST_BYTES) -> int:
@@ -131,7 +133,8 @@ class ShardStore:
         rows = self.spark.read.schema(self.schema).parquet(*[path for path, _ in of])
         names = {c: f"c{i}" for i, c in enumerate(self.schema.names)}
         plain = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("_metadata.file_path").alias("_path"))
-        dealt = plain.join(F.broadcast(self.spark.createDataFrame(of, "_path string, _group int")), "_path").drop("_path")
+        table = self.spark.createDataFrame(of, "_path string, _group int")
+        dealt = plain.join(F.broadcast(table) if len(of) <= BROADCAST_FILES else table, "_path").drop("_path")
         at = f"{self.path}/data/{uuid.uuid4().hex}"
         # a merged shard is at most a quarter over the target, so one task can write it
         dealt = dealt.repartition(2 * len(groups), "_group").select(*[F.col(n).alias(c) for c, n in names.items()], F.col("_group").alias("__group"))
