@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -59,6 +60,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return durable_at(df, name)[0]
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that nothing reads any more, and let Spark drop the shuffles that made them.
+
+    Spark removes a shuffle's files once the driver has collected its last reference.
+    """
+    for path in paths:
+        remove(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def smaller_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch from here on, so that batches of long texts fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrewell.llm.common import arrow_map, durable, smaller_batches
+from timbrewell.llm.common import arrow_map, discard, durable, durable_at, smaller_batches
 from timbrewell.llm.keys import MESSAGE, Distinct, answers_of, log_parts_of, message_batch
 
 WORDS = 5
@@ -221,11 +221,13 @@ def common_shingles(docs: DataFrame, log_parts: int) -> np.ndarray:
         hot = total > COMMON
         return pa.table({"key": pa.array(keys[heads][hot].astype(np.int64)), "n": pa.array(total[hot])})
 
-    found = durable(arrow_map(docs.select("text"), count, "part int, keys binary, n binary").groupBy("part").applyInArrow(add, "key long, n long"), "common")
+    found, path = durable_at(arrow_map(docs.select("text"), count, "part int, keys binary, n binary").groupBy("part").applyInArrow(add, "key long, n long"), "common")
     if found.count() > MOST_COMMON:
         share = 1 - MOST_COMMON / found.count()
         found = found.where(F.col("n") > found.approxQuantile("n", [share], 0.001)[0])
-    return np.sort(found.orderBy(F.desc("n"), "key").limit(MOST_COMMON).toPandas()["key"].to_numpy().astype(np.uint64))
+    hot = np.sort(found.orderBy(F.desc("n"), "key").limit(MOST_COMMON).toPandas()["key"].to_numpy().astype(np.uint64))
+    discard(docs.sparkSession, path)
+    return hot
 
 
 def windows(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -275,10 +277,10 @@ def _unpacked(batches: Iterator[pa.RecordBatch], more: str | None = None) -> Ite
             yield SimpleNamespace(number=row["block"], ids=reps), ns, sizes, keys, row[more] if more else None
 
 
-def shared_windows(classes: DataFrame, log_parts: int) -> DataFrame:
-    """key, rep, n and last (the end of the window) for the keys that more than one class has in its window."""
+def shared_windows(classes: DataFrame, log_parts: int) -> tuple[DataFrame, str]:
+    """A written table (and its path) of key, rep, n and last (the end of the window) for the keys that more than one class has in its window."""
     smaller_batches(classes.sparkSession, 2000)
-    blocks = durable(_packed(classes), "windows")
+    blocks, path = durable_at(_packed(classes), "windows")
 
     def distinct(block, sizes: np.ndarray, keys: np.ndarray) -> Distinct:
         # the two highest bits of a key are the order's, the ranges go by the hash below them
@@ -300,7 +302,10 @@ def shared_windows(classes: DataFrame, log_parts: int) -> DataFrame:
 
     smaller_batches(classes.sparkSession, 16)
     answers = answers_of(blocks.mapInArrow(ask, MESSAGE))
-    return blocks.join(answers, "block", "left").mapInArrow(give, "key long, rep long, n long, last long")
+    shared = durable_at(blocks.join(answers, "block", "left").mapInArrow(give, "key long, rep long, n long, last long"), "shared")
+    del answers
+    discard(classes.sparkSession, path)
+    return shared
 
 
 def _candidates(small: DataFrame, large: DataFrame) -> DataFrame:
@@ -362,23 +367,27 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     log_parts = log_parts_of(chars // 25)
     common = common_shingles(rows, log_parts)
-    cut = durable(windows(rows, common), "sets")
+    cut, cut_path = durable_at(windows(rows, common), "sets")
     equal = cut.where("n > 0").groupBy("digest").agg(F.min("vid").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "least")
-    members = cut.join(equal, "digest", "left").withColumn("rep", F.coalesce("least", "vid"))
-    classes = members.where("n > 0 AND vid = rep").select("rep", "n", "window")
-    shared = durable(shared_windows(classes, log_parts), "shared")
+    joined = cut.join(equal, "digest", "left").withColumn("rep", F.coalesce("least", "vid"))
+    members = durable(joined.select("vid", "n", "rep"), "members")
+    shared, shared_path = shared_windows(joined.where("n > 0 AND vid = rep").select("rep", "n", "window"), log_parts)
+    del equal, joined
+    discard(spark, cut_path)
     counts = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    regions = durable(shared.join(counts, "key"), "regions")
+    regions, regions_path = durable_at(shared.join(counts, "key"), "regions")
     small, large = regions.where(F.col("m") <= SMALL_REGION), regions.where(F.col("m") > SMALL_REGION)
-    pairs = durable(_candidates(small, large), "pairs")
-    groups = durable(_groups(large), "groups")
+    pairs, pairs_path = durable_at(_candidates(small, large), "pairs")
+    groups, groups_path = durable_at(_groups(large), "groups")
     wanted = pairs.select(F.col("a").alias("vid")).unionAll(pairs.select("b")).unionAll(groups.select("rep")).distinct()
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = durable(rows.join(wanted, "vid", "left_semi").select(F.col("vid").alias("rep"), "text"), "texts")
+    texts, texts_path = durable_at(rows.join(wanted, "vid", "left_semi").select(F.col("vid").alias("rep"), "text"), "texts")
     smaller_batches(spark, 500)
-    labels = components(durable(_checked(pairs, texts).unionAll(_region_edges(groups, texts)), "edges"))
-    labelled = members.select("vid", "n", "rep").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
+    edges = durable(_checked(pairs, texts).unionAll(_region_edges(groups, texts)), "edges")
+    discard(spark, shared_path, regions_path, pairs_path, groups_path, texts_path)
+    labels = components(edges)
+    labelled = members.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     component = F.when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("vid"))
     number = lambda c: F.when(c < _LAST, c)
     return labelled.select(number(F.col("vid")).alias("doc_id"), F.col("n").alias("n_shingles"), number(component).alias("component_id"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrewell.llm.common import arrow_map, durable, smaller_batches
+from timbrewell.llm.common import arrow_map, discard, durable, durable_at, smaller_batches
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 MOST_BITS = 1 << 28
@@ -135,11 +135,13 @@ def filter_bits(documents: int) -> int:
 def dropped(docs: DataFrame) -> DataFrame:
     """id and hashes: the keys (by hash) that each document loses."""
     bits = filter_bits(docs.count())
-    suspects = durable(_suspects(docs, seen_again(docs, bits), bits), "suspects")
+    suspects, path = durable_at(_suspects(docs, seen_again(docs, bits), bits), "suspects")
     counted = suspects.select("key", "id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
     repeats = counted.where(F.col("n") >= LEAST_DOCS).select("key", "last")
     lost = suspects.join(repeats, "key").where(~F.col("id").eqNullSafe(F.col("last")))
-    return lost.groupBy("id").agg(F.collect_set("hash").alias("hashes"))
+    out = durable(lost.groupBy("id").agg(F.collect_set("hash").alias("hashes")), "lost")
+    discard(docs.sparkSession, path)
+    return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

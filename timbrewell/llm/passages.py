@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrewell.llm.common import durable, durable_at, remove, smaller_batches
+from timbrewell.llm.common import discard, durable, durable_at, smaller_batches
 from timbrewell.llm.keys import MESSAGE, Distinct, answers_of, log_parts_of, message_batch
 
 WINDOW, GRAM = 100, 32
@@ -333,11 +333,14 @@ def dedup_passages(docs: DataFrame, whole_characters: bool = False, digest: bool
 
     answers = answers_of(blocks.mapInArrow(ask, MESSAGE))
     settled = durable(blocks.join(answers, "block", "left").mapInArrow(settle, BLOCK), "settled")
-    remove(spark, blocks_path)
+    del answers
+    discard(spark, blocks_path)
     is_open = (F.length("unsettled") > 0) | (F.length("holders") > 0)
     open_rows = settled.where(is_open)
     named = answers_of(open_rows.mapInArrow(name_triggers, MESSAGE))
     narrowed = durable(open_rows.join(named, "block", "left").mapInArrow(narrow, BLOCK), "narrowed")
+    del named
+    discard(spark)
 
     columns = [c for c in docs.columns if c != "text"]
     kind = "binary" if not (whole_characters or digest) else "string"
