@@ -73,4 +73,6 @@ ORACLES: dict[str, str] = {
     "op3_document_fingerprints": fingerprints.ORACLE,
     "op5_ngram_jaccard_join": jaccard.ORACLE,
     "op6_line_dedup": lines.ORACLE,
+    "op9_suffix_array_dedup": passages.ORACLE,
+    "op10_chat_formatting": chat.ORACLE,
 }

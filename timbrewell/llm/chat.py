@@ -196,3 +196,21 @@ def digest(conversations: DataFrame) -> DataFrame:
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return format_chats(conversations).mapInArrow(run, schema)
+
+
+def _quoted(text: str | bytes) -> str:
+    text = text.decode() if isinstance(text, bytes) else text
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_SIZES = " ".join(f"WHEN '{role}' THEN length({_quoted(a)}) + length({_quoted(b)})" for role, (a, b) in _PARTS.items())
+ORACLE = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM (SELECT unnest([0, 1]) AS k)),
+e AS (SELECT *, length(regexp_replace(text, '{_CONTROL}', '\\1\\\\\\2\\3', 'g')) + CASE role {_SIZES}
+  ELSE {len(b"".join(_OTHER))} + length(replace(replace(replace(replace(role, '%', '%25'), ']', '%5D'), '[', '%5B'), '<', '%3C')) END AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

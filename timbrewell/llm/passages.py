@@ -374,3 +374,17 @@ def passage_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
     rows = dedup_passages(docs.select("doc_id", "text"), digest=True)
     return rows.select("doc_id", F.col("__bytes").alias("n_bytes"), F.col("__removed").alias("n_removed"), F.col("__spans").alias("n_spans"), F.col("text").alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS rid FROM documents),
+w AS (SELECT rid, i, md5(substring(h, 2 * i + 1, {2 * WINDOW})) AS s FROM (SELECT rid, h, unnest(range(0, greatest(length(h) // 2 - {WINDOW - 1}, 0))) AS i FROM d)),
+r AS (SELECT rid, i FROM (SELECT rid, i, row_number() OVER (PARTITION BY s ORDER BY rid, i) AS n FROM w) WHERE n > 1),
+g AS (SELECT rid, i, sum(CASE WHEN i - p <= {WINDOW} THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS k FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS p FROM r)),
+s AS (SELECT rid, min(i) AS a, max(i) + {WINDOW} AS b FROM g GROUP BY rid, k),
+t AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS p FROM s),
+u AS (SELECT d.rid, string_agg(substring(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept, sum(b - a) AS removed, count(*) AS spans, max(b) AS last FROM t JOIN d ON t.rid = d.rid GROUP BY d.rid)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substring(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN u ON d.rid = u.rid
+"""
