@@ -68,8 +68,9 @@ def add_counts(docs: DataFrame) -> DataFrame:
 
 def sketch(counted: DataFrame) -> DataFrame:
     """lang, source, metric, cell, n: the histograms of the rows that the base rule keeps."""
-    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS]))
-    rows = counted.where(~F.col("base_failed")).select("lang", "source", cells.alias("c"))
+    # a filter on base_failed itself would be pushed below the counts and make them twice
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.when(~F.col("base_failed"), F.col(m)).alias("v")) for m in METRICS]))
+    rows = counted.select("lang", "source", cells.alias("c")).where("c.v IS NOT NULL")
     shift = F.expr("greatest(length(bin(c.v)) - 6, 0)")
     return (
         rows.select("lang", "source", "c.metric", F.expr("c.v AS v"), shift.alias("shift"))
@@ -120,7 +121,9 @@ def judge(counted: DataFrame, fences: DataFrame) -> DataFrame:
     for m in METRICS:
         inside = inside & (F.col(m) <= F.col(f"_{m}_max"))
     rows = counted.join(fences, on, "left")
-    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop(*fences.columns)
+    # one difference, so that no half of it is pushed below the counts
+    kept = F.coalesce(inside, F.lit(True)).cast("int") - F.coalesce(F.col("base_failed"), F.lit(False)).cast("int") > 0
+    return rows.withColumn("kept", kept).drop(*fences.columns)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
