@@ -368,13 +368,15 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     log_parts = log_parts_of(chars // 25)
     common = common_shingles(rows, log_parts)
     cut, cut_path = durable_at(windows(rows, common), "sets")
-    equal = cut.where("n > 0").groupBy("digest").agg(F.min("vid").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "least")
+    # written, as are the counts below, so that joins have plain shuffles on both sides and hot partitions can be split
+    equal = cut.where("n > 0").groupBy("digest").agg(F.min("vid").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    equal = durable(equal.select("digest", "least"), "equal")
     joined = cut.join(equal, "digest", "left").withColumn("rep", F.coalesce("least", "vid"))
     members = durable(joined.select("vid", "n", "rep"), "members")
     shared, shared_path = shared_windows(joined.where("n > 0 AND vid = rep").select("rep", "n", "window"), log_parts)
     del equal, joined
     discard(spark, cut_path)
-    counts = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    counts = durable(shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "counts")
     regions, regions_path = durable_at(shared.join(counts, "key"), "regions")
     small, large = regions.where(F.col("m") <= SMALL_REGION), regions.where(F.col("m") > SMALL_REGION)
     pairs, pairs_path = durable_at(_candidates(small, large), "pairs")

@@ -137,7 +137,8 @@ def dropped(docs: DataFrame) -> DataFrame:
     bits = filter_bits(docs.count())
     suspects, path = durable_at(_suspects(docs, seen_again(docs, bits), bits), "suspects")
     counted = suspects.select("key", "id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
-    repeats = counted.where(F.col("n") >= LEAST_DOCS).select("key", "last")
+    # written, so that the join has plain shuffles on both sides and a hot key's partition can be split
+    repeats = durable(counted.where(F.col("n") >= LEAST_DOCS).select("key", "last"), "repeats")
     lost = suspects.join(repeats, "key").where(~F.col("id").eqNullSafe(F.col("last")))
     out = durable(lost.groupBy("id").agg(F.collect_set("hash").alias("hashes")), "lost")
     discard(docs.sparkSession, path)
