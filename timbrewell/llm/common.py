@@ -129,4 +129,4 @@ class RangeGroups:
             widths = F.array(*[F.lit(max(1, -(-(int(b) - int(a) + 1) // self.parts))) for a, b in zip(self.edges, self.edges[1:], strict=False)])
             sub = F.floor((col - F.element_at(lows, (part + 1).cast("int"))) / F.element_at(widths, (part + 1).cast("int")))
             part = part.cast("long") * self.parts + F.greatest(F.lit(0), F.least(F.lit(self.parts - 1), sub))
-        return F.coalesce(part.cast("long"), F.lit(0).cast("long"))
+        return F.when(col.isNull(), F.lit(0)).otherwise(part).cast("long")
