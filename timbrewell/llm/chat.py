@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrewell.llm.common import smaller_batches
+from timbrewell.llm.common import smaller_batches, tidy
 
 _CONTROL = r"([<\[])(\\*)(s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\]|ROLE:|/ROLE\])"
 _PARTS = {"system": (b"<<SYS>>\n", b"\n<</SYS>>\n\n"), "user": (b"<s>[INST] ", b" [/INST]"), "assistant": (b" ", b" </s>")}
@@ -138,7 +138,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
             columns += [pa.array(x, pa.list_(pa.int32())) for x in (mask_start, mask_length)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(chars)], ["conv_id", "chunk", "formatted", "loss_start", "loss_length", "chars"])
 
-    return rows.mapInArrow(run, CHUNKS)
+    return rows.mapInArrow(tidy(run), CHUNKS)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -195,7 +195,7 @@ def digest(conversations: DataFrame) -> DataFrame:
             yield rows([state])
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return format_chats(conversations).mapInArrow(run, schema)
+    return format_chats(conversations).mapInArrow(tidy(run), schema)
 
 
 def _quoted(text: str | bytes) -> str:

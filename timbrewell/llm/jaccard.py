@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrewell.llm.common import arrow_map, discard, durable, durable_at, smaller_batches
+from timbrewell.llm.common import arrow_map, discard, durable, durable_at, smaller_batches, tidy
 from timbrewell.llm.keys import MESSAGE, Distinct, answers_of, log_parts_of, message_batch
 
 WORDS = 5
@@ -265,7 +265,7 @@ def _packed(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], ["block", "reps", "ns", "sizes", "windows"])
             number += 1
 
-    return classes.mapInArrow(run, _PACK)
+    return classes.mapInArrow(tidy(run), _PACK)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], more: str | None = None) -> Iterator[tuple]:
@@ -301,8 +301,8 @@ def shared_windows(classes: DataFrame, log_parts: int) -> tuple[DataFrame, str]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "rep", "n", "last"])
 
     smaller_batches(classes.sparkSession, 16)
-    answers = answers_of(blocks.mapInArrow(ask, MESSAGE))
-    shared = durable_at(blocks.join(answers, "block", "left").mapInArrow(give, "key long, rep long, n long, last long"), "shared")
+    answers = answers_of(blocks.mapInArrow(tidy(ask), MESSAGE))
+    shared = durable_at(blocks.join(answers, "block", "left").mapInArrow(tidy(give), "key long, rep long, n long, last long"), "shared")
     del answers
     discard(classes.sparkSession, path)
     return shared

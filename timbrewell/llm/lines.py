@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrewell.llm.common import arrow_map, discard, durable, durable_at, smaller_batches
+from timbrewell.llm.common import arrow_map, discard, durable, durable_at, smaller_batches, tidy
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 MOST_BITS = 1 << 28
@@ -98,8 +98,8 @@ def seen_again(docs: DataFrame, bits: int) -> np.ndarray:
         if held is not None:
             yield done()
 
-    parts = docs.select("text").mapInArrow(fill, "segment int, once binary, again binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, again binary")
+    parts = docs.select("text").mapInArrow(tidy(fill), "segment int, once binary, again binary")
+    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(tidy(merge), "segment int, again binary")
     table = np.zeros(max(bits // 8, _SEGMENT), np.uint8)
     for row in merged.toLocalIterator():
         got = np.frombuffer(zlib.decompress(bytes(row["again"])), np.uint8)

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrewell.llm.common import discard, durable, durable_at, smaller_batches
+from timbrewell.llm.common import discard, durable, durable_at, smaller_batches, tidy
 from timbrewell.llm.keys import MESSAGE, Distinct, answers_of, log_parts_of, message_batch
 
 WINDOW, GRAM = 100, 32
@@ -55,7 +55,7 @@ class _Powers:
     @classmethod
     def reach(cls, n: int) -> None:
         if len(cls.up) <= n:
-            size = max(n + 1, 2 * BLOCK_BYTES)
+            size = max(n + 1, BLOCK_BYTES + (1 << 17))
             for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
@@ -190,7 +190,7 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield done()
 
-    return docs.mapInArrow(run, BLOCK)
+    return docs.mapInArrow(tidy(run), BLOCK)
 
 
 class Block:
@@ -331,14 +331,14 @@ def dedup_passages(docs: DataFrame, whole_characters: bool = False, digest: bool
             if rows := _windows(block, np.flatnonzero(block.unsettled | block.holders)).messages(block, 2, log_parts):
                 yield message_batch(rows)
 
-    answers = answers_of(blocks.mapInArrow(ask, MESSAGE))
-    settled = durable(blocks.join(answers, "block", "left").mapInArrow(settle, BLOCK), "settled")
+    answers = answers_of(blocks.mapInArrow(tidy(ask), MESSAGE))
+    settled = durable(blocks.join(answers, "block", "left").mapInArrow(tidy(settle), BLOCK), "settled")
     del answers
     discard(spark, blocks_path)
     is_open = (F.length("unsettled") > 0) | (F.length("holders") > 0)
     open_rows = settled.where(is_open)
-    named = answers_of(open_rows.mapInArrow(name_triggers, MESSAGE))
-    narrowed = durable(open_rows.join(named, "block", "left").mapInArrow(narrow, BLOCK), "narrowed")
+    named = answers_of(open_rows.mapInArrow(tidy(name_triggers), MESSAGE))
+    narrowed = durable(open_rows.join(named, "block", "left").mapInArrow(tidy(narrow), BLOCK), "narrowed")
     del named
     discard(spark)
 
@@ -363,10 +363,10 @@ def dedup_passages(docs: DataFrame, whole_characters: bool = False, digest: bool
             values = [pa.array(x.astype(np.int64)) for x in (block.sizes, removed, runs)]
             yield pa.RecordBatch.from_arrays([*block.extra.columns, texts, *values], [*block.extra.schema.names, "text", "__bytes", "__removed", "__spans"])
 
-    asked = answers_of(narrowed.mapInArrow(ask_windows, MESSAGE))
+    asked = answers_of(narrowed.mapInArrow(tidy(ask_windows), MESSAGE))
     none = F.lit(None).cast(asked.schema["answers"].dataType).alias("answers")
-    closed = settled.where(~is_open).select("*", none).mapInArrow(finish, schema)
-    out = closed.unionAll(narrowed.join(asked, "block", "left").mapInArrow(finish, schema))
+    closed = settled.where(~is_open).select("*", none).mapInArrow(tidy(finish), schema)
+    out = closed.unionAll(narrowed.join(asked, "block", "left").mapInArrow(tidy(finish), schema))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__bytes", "__removed", "__spans")
 
 

@@ -4,7 +4,7 @@ A text is cut into units: each word with the space before it, plain words apart
 no more than 48 bytes. A unit's lattice holds all vocabulary pieces that match it, and single bytes for characters
 that have no piece. Pieces weigh 1 / (rank + 10) of their rank in the vocabulary. Forward filtering sums the weights of
 all ways to each place; backward sampling then walks from the end, choosing each piece with its share. The lattice of
-each distinct unit is filtered once per worker; all units of a batch are sampled together in numpy. The numbers come
+each distinct unit is filtered once per task; all units of a batch are sampled together in numpy. The numbers come
 from a hash of the row key, the unit's place and the step, so a row's sample is the same in any batch, task or run.
 
 A text has a space put before it, as the vocabulary expects; decoding joins the pieces' bytes and drops it. A mark
@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from timbrewell.llm.common import arrow_map, smaller_batches
+from timbrewell.llm.common import arrow_map, forget_at_end, smaller_batches
 from timbrewell.llm.passages import Text
 from timbrewell.llm.tokens import tokenizer_path
 
@@ -273,6 +273,14 @@ def lattices(path: str) -> Lattices:
     return _open[path]
 
 
+def _forget_units() -> None:
+    for lattice in _open.values():
+        lattice._forget()
+
+
+forget_at_end.append(_forget_units)
+
+
 def row_keys(ids: list[int | None], seed: int) -> np.ndarray:
     """A number for each row key."""
     values = np.array([-1 if x is None else x for x in ids], np.int64).astype(np.uint64)

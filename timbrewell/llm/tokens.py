@@ -1,9 +1,9 @@
-"""Token ids of whole texts, with each distinct word encoded once per worker.
+"""Token ids of whole texts, with each distinct word encoded once per task.
 
 A byte-level or word-level tokenizer never joins characters across a single space between two non-spaces, so a
 text's ids are those of its words, each with the space before it. A word of plain Latin letters and the punctuation
 after it are two more such parts. Arrow splits texts and finds the distinct words; only parts that are new to the
-worker reach the tokenizer, many in one call; numpy gathers the ids. Texts with a space beside other white space,
+task reach the tokenizer, many in one call; numpy gathers the ids. Texts with a space beside other white space,
 and words of other kinds, go to the tokenizer whole. Strings of special tokens in a text are ordinary text.
 """
 
@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from timbrewell.llm.common import forget_at_end
+
 #: White space of either kind next to a space; a superset of what the tokenizers' patterns call white space.
 _WHITE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 _RUN = rf" [{_WHITE}]|[{_WHITE}] "
 #: Latin letters, then punctuation without apostrophes (which may start a contraction).
 _PLAIN = r"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!-&(-/:-@\[-`{-~]*)$"
-_CACHE_PARTS = 1_000_000
+_CACHE_PARTS = 400_000
 _open: dict[tuple[str, bool], WordTokens] = {}
 
 
@@ -160,3 +162,11 @@ def word_tokens(path: str, drops_space: bool = False) -> WordTokens:
     if (path, drops_space) not in _open:
         _open[path, drops_space] = WordTokens(path, drops_space)
     return _open[path, drops_space]
+
+
+def _forget_parts() -> None:
+    for encoder in _open.values():
+        encoder._forget()
+
+
+forget_at_end.append(_forget_parts)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timbrewell.llm.common import RangeGroups, arrow_map, durable, shared_path, smaller_batches
+from timbrewell.llm.common import RangeGroups, arrow_map, durable, shared_path, smaller_batches, tidy
 from timbrewell.llm.tokens import tokenizer_path, word_tokens
 
 END_ID = 2
@@ -109,7 +109,7 @@ def frequencies(rows: DataFrame) -> np.ndarray:
         if len(there):
             yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], ["id", "n"])
 
-    found = rows.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select("ids").mapInArrow(tidy(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     order = np.lexsort((found["id"].to_numpy(), -found["n"].to_numpy()))
     return found["id"].to_numpy()[order].astype(np.uint32)
 
@@ -150,7 +150,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             yield done()
 
     dealt = rows.repartition("grp").sortWithinPartitions("grp", F.col("doc_id").asc_nulls_first(), "crc")
-    dealt.mapInArrow(blocks, "grp long, number long, base long, n long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt.mapInArrow(tidy(blocks), "grp long, number long, base long, n long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def _bases(blocks: DataFrame) -> DataFrame:
