@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,25 @@ def smaller_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def slices(texts: pa.Array, size: int = 8 << 20) -> Iterator[pa.Array]:
+    """Runs of texts of about so many bytes together, so that a worker's arrays don't follow the batch."""
+    if len(texts):
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        number = (upto - 1).clip(0) // size
+        cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield texts.slice(a, b - a)
+
+
+def joined(parts: list[tuple[np.ndarray, np.ndarray]], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bounds of runs, put together."""
+    if not parts:
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    shifts = np.cumsum([0, *(len(v) for v, _ in parts)])
+    bounds = [b[:-1] + s for (_, b), s in zip(parts, shifts, strict=False)]
+    return np.concatenate([v for v, _ in parts]), np.append(np.concatenate(bounds), shifts[-1])
+
+
 #: What workers forget when a task ends: caches that are worth their memory within a task only.
 forget_at_end: list[Callable[[], None]] = []
 

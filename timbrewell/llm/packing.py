@@ -33,7 +33,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of each document; only documents over the capacity are cut, the first piece is the rest."""
-    smaller_batches(docs.sparkSession, 4000)
+    smaller_batches(docs.sparkSession, 2000)
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens(tokenizer)

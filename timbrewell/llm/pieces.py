@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from timbrewell.llm.common import arrow_map, forget_at_end, smaller_batches
+from timbrewell.llm.common import arrow_map, forget_at_end, joined, slices, smaller_batches
 from timbrewell.llm.passages import Text
 from timbrewell.llm.tokens import tokenizer_path
 
@@ -200,6 +200,13 @@ class Lattices:
 
     def sample(self, texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts in a row, and where each starts and the last ends."""
+        parts, at = [], 0
+        for part in slices(texts):
+            parts.append(self._sample(part, keys[at : at + len(part)]))
+            at += len(part)
+        return joined(parts, np.int32)
+
+    def _sample(self, texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.units) > MOST_UNITS:
             self._forget()
         texts = pc.fill_null(texts, "")
@@ -290,7 +297,7 @@ def row_keys(ids: list[int | None], seed: int) -> np.ndarray:
 
 def sampled_pieces(docs: DataFrame, model: str | None = None, seed: int = 1) -> DataFrame:
     """doc_id, pieces (ids) and text (decoded from them) of each row."""
-    smaller_batches(docs.sparkSession, 4000)
+    smaller_batches(docs.sparkSession, 2000)
     path = model or tokenizer_path("piece_bpe_32k.model")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -305,7 +312,7 @@ def sampled_pieces(docs: DataFrame, model: str | None = None, seed: int = 1) ->
 
 def piece_digest(docs: DataFrame, model: str | None = None, seed: int = 1) -> DataFrame:
     """doc_id, n_pieces, pieces_crc32 (of little-endian 32-bit ids), n_chars and decoded_sha256 of each row."""
-    smaller_batches(docs.sparkSession, 4000)
+    smaller_batches(docs.sparkSession, 2000)
     path = model or tokenizer_path("piece_bpe_32k.model")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,9 @@
-"""Token ids of whole texts, with each distinct word encoded once per task.
+"""Token ids of whole texts, with each distinct word encoded once per worker, while a cache of bounded size holds it.
 
 A byte-level or word-level tokenizer never joins characters across a single space between two non-spaces, so a
 text's ids are those of its words, each with the space before it. A word of plain Latin letters and the punctuation
 after it are two more such parts. Arrow splits texts and finds the distinct words; only parts that are new to the
-task reach the tokenizer, many in one call; numpy gathers the ids. Texts with a space beside other white space,
+worker reach the tokenizer, many in one call; numpy gathers the ids. Texts with a space beside other white space,
 and words of other kinds, go to the tokenizer whole. Strings of special tokens in a text are ordinary text.
 """
 
@@ -15,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from timbrewell.llm.common import forget_at_end
+from timbrewell.llm.common import joined, slices
 
 #: White space of either kind next to a space; a superset of what the tokenizers' patterns call white space.
 _WHITE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 _RUN = rf" [{_WHITE}]|[{_WHITE}] "
 #: Latin letters, then punctuation without apostrophes (which may start a contraction).
 _PLAIN = r"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!-&(-/:-@\[-`{-~]*)$"
-_CACHE_PARTS = 400_000
+_CACHE_PARTS = 600_000
 _open: dict[tuple[str, bool], WordTokens] = {}
 
 
@@ -58,7 +58,7 @@ class WordTokens:
     def _forget(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.values, self.used = np.zeros(1 << 16, np.uint16), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def _add(self, keys: list[str], ids: list[np.ndarray] | tuple[np.ndarray, np.ndarray]) -> None:
         """New parts with their ids: one array each, or all in a row and their sizes."""
@@ -123,6 +123,9 @@ class WordTokens:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's start and the last one's end."""
+        return joined([self._encode(part) for part in slices(texts)], np.uint16)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.zeros(0, np.uint16), np.zeros(1, np.int64)
@@ -145,13 +148,14 @@ class WordTokens:
             pairs[heads, 1] = 0
         parts = pairs.ravel()
         sizes = self.size[parts]
-        ends = np.cumsum(sizes)
-        ids = self.values[np.arange(ends[-1]) + np.repeat(self.start[parts] - (ends - sizes), sizes)]
-        return ids, np.append(0, ends[2 * np.cumsum(counts) - 1])
+        ends = np.cumsum(sizes, dtype=np.int32)
+        at = np.repeat(self.start[parts] - (ends - sizes), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.values[at], np.append(0, ends[2 * np.cumsum(counts) - 1]).astype(np.int64)
 
     def _mixed(self, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         whole = iter(self._each(texts.take(pa.array(np.flatnonzero(odd))).to_pylist()))
-        ids, at = self.encode(texts.take(pa.array(np.flatnonzero(~odd))))
+        ids, at = self._encode(texts.take(pa.array(np.flatnonzero(~odd))))
         rest = iter([ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
         each = [next(whole if x else rest) for x in odd]
         return np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each]))
@@ -162,11 +166,3 @@ def word_tokens(path: str, drops_space: bool = False) -> WordTokens:
     if (path, drops_space) not in _open:
         _open[path, drops_space] = WordTokens(path, drops_space)
     return _open[path, drops_space]
-
-
-def _forget_parts() -> None:
-    for encoder in _open.values():
-        encoder._forget()
-
-
-forget_at_end.append(_forget_parts)
