@@ -331,13 +331,15 @@ def dedup_passages(docs: DataFrame, whole_characters: bool = False, digest: bool
             if rows := _windows(block, np.flatnonzero(block.unsettled | block.holders)).messages(block, 2, log_parts):
                 yield message_batch(rows)
 
-    answers = answers_of(blocks.mapInArrow(tidy(ask), MESSAGE))
+    # answers are small; once they are written, the messages' shuffle can go before the blocks' begins
+    answers = durable(answers_of(blocks.mapInArrow(tidy(ask), MESSAGE)), "answers")
+    discard(spark)
     settled = durable(blocks.join(answers, "block", "left").mapInArrow(tidy(settle), BLOCK), "settled")
     del answers
     discard(spark, blocks_path)
     is_open = (F.length("unsettled") > 0) | (F.length("holders") > 0)
     open_rows = settled.where(is_open)
-    named = answers_of(open_rows.mapInArrow(tidy(name_triggers), MESSAGE))
+    named = durable(answers_of(open_rows.mapInArrow(tidy(name_triggers), MESSAGE)), "named")
     narrowed = durable(open_rows.join(named, "block", "left").mapInArrow(tidy(narrow), BLOCK), "narrowed")
     del named
     discard(spark)
