@@ -57,3 +57,11 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() == 60
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_pattern_priority_reads_past_200(spark, tmp_path):
+    filler = "x" * 250 + " "
+    rows = [(3, filler + "composed by Late Name"), (4, filler + "composed by Late Name"), (7, "y" * 2970 + " music by Edge Case"), (11, "y" * 2990 + " music by Edge Case"), (15, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["composer"] for r in QUERIES["pattern_priority"](spark, str(tmp_path)).collect()}
+    assert got == {3: "Late Name", 4: "Late Name", 7: "Edge Case", 11: None, 15: None}

@@ -429,7 +429,8 @@ _CREDIT = "CASE doc_id % 4 WHEN 0 THEN ' music by Ada Byte' WHEN 1 THEN ' Ben Ch
 
 @query(f"SELECT doc_id, coalesce({', '.join(f'nullif(regexp_extract(t, {chr(39)}{p}{chr(39)}, 1), {chr(39)}{chr(39)})' for p in web.COMPOSER_PHRASES)}) AS composer FROM (SELECT doc_id, left(left(coalesce(text, ''), 200) || {_CREDIT}, 3000) AS t FROM documents)")
 def pattern_priority(spark, sf_dir):
-    text = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 200), F.expr(_CREDIT))
+    # the credit comes first, so that the document's whole text can follow it
+    text = F.concat_ws(" ", F.nullif(F.expr(_CREDIT), F.lit("")), F.coalesce("text", F.lit("")))
     return views.table(spark, sf_dir, "documents").select("doc_id", web.composer_in(text).alias("composer"))
 
 
