@@ -65,3 +65,28 @@ def test_pattern_priority_reads_past_200(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["composer"] for r in QUERIES["pattern_priority"](spark, str(tmp_path)).collect()}
     assert got == {3: "Late Name", 4: "Late Name", 7: "Edge Case", 11: None, 15: None}
+
+
+def test_sweep_and_clusters_are_whole(spark, sf_dir, monkeypatch):
+    from timbrewell.operators import learning
+
+    fits = []
+
+    class Fit:
+        def __init__(self, k, seed, **_):
+            fits.append((k, seed))
+            self.summary, self.trainingCost = self, 1000.0 / k + seed % 3
+
+        def fit(self, vectors):
+            return self
+
+        def transform(self, vectors):
+            return vectors.selectExpr("*", "0 AS Cluster")
+
+    monkeypatch.setattr(learning, "KMeans", Fit)
+    rows = QUERIES["elbow_sweep"](spark, sf_dir).collect()
+    assert sorted(r["k"] for r in rows) == list(range(2, 16))
+    assert len(set(fits)) == len(fits) == 140 and {k for k, _ in fits} == set(range(2, 16))
+    fits.clear()
+    QUERIES["kmeans_clusters"](spark, sf_dir)
+    assert sorted(k for k, _ in fits) == [7] * 10 and len(set(fits)) == 10

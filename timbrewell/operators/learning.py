@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,6 +14,11 @@ from pyspark.sql import functions as F
 
 from timbrewell.schema import FEATURES
 
+#: Seeds of the restarts, of which the least inertia counts.
+RESTARTS = tuple(range(42, 52))
+#: Fits that run side by side; each is a chain of small jobs.
+AT_ONCE = 8
+
 
 def scaled(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Columns less their mean over their population deviation; constant ones become 0. Moments in one pass."""
@@ -76,21 +84,29 @@ def neighbour_map(vectors: DataFrame, key: str, neighbours: int = 15, rounds: in
     return places
 
 
-def clusters(vectors: DataFrame, k: int = 7, seeds: tuple[int, ...] = (42,)) -> tuple[DataFrame, float]:
+def _fits(vectors: DataFrame, asked: list[tuple[int, int]]) -> list:
+    """A model for each k and seed."""
+
+    def task(k: int, seed: int):
+        return lambda: KMeans(k=k, seed=seed, featuresCol="features", predictionCol="Cluster").fit(vectors)
+
+    with ThreadPool(min(AT_ONCE, len(asked))) as pool:
+        return pool.map(lambda f: f(), [inheritable_thread_target(vectors.sparkSession)(task(k, seed)) for k, seed in asked], 1)
+
+
+def clusters(vectors: DataFrame, k: int = 7, seeds: tuple[int, ...] = RESTARTS) -> tuple[DataFrame, float]:
     """vectors with Cluster, by the seed with the least inertia, and that inertia."""
-    best = None
-    for seed in seeds:
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="Cluster").fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+    best = min(_fits(vectors, [(k, seed) for seed in seeds]), key=lambda model: model.summary.trainingCost)
     return best.transform(vectors), float(best.summary.trainingCost)
 
 
-def elbow(vectors: DataFrame, ks: range = range(2, 16), seeds: tuple[int, ...] = (42,)) -> DataFrame:
+def elbow(vectors: DataFrame, ks: range = range(2, 16), seeds: tuple[int, ...] = RESTARTS) -> DataFrame:
     """k and inertia; no larger k is worse than a smaller one (best of all before)."""
+    asked = [(k, seed) for k in ks for seed in seeds]
+    found = [float(model.summary.trainingCost) for model in _fits(vectors, asked)]
     costs, least = [], float("inf")
     for k in ks:
-        least = min(least, clusters(vectors, k, seeds)[1])
+        least = min(least, *(cost for (of, _), cost in zip(asked, found, strict=True) if of == k))
         costs.append((k, least))
     return vectors.sparkSession.createDataFrame(costs, "k int, inertia double")
 

@@ -746,13 +746,13 @@ def pca_variance(spark, sf_dir):
 
 @query()
 def kmeans_clusters(spark, sf_dir):
-    labelled, _ = learning.clusters(_features(spark, sf_dir))
+    labelled, _ = learning.clusters(_features(spark, sf_dir).persist())
     return labelled.groupBy("Cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def elbow_sweep(spark, sf_dir):
-    found = learning.elbow(_features(spark, sf_dir).persist(), range(2, 7))
+    found = learning.elbow(_features(spark, sf_dir).persist(), range(2, 16))
     rows = found.orderBy("k").collect()
     return found.withColumn("knee", F.lit(learning.knee([r["k"] for r in rows], [r["inertia"] for r in rows])))
 
