@@ -1,8 +1,8 @@
 """Sampled segmentation into sentence pieces, and lossless decoding.
 
-A text is cut into units: each word with the space before it, plain words apart from the punctuation after them, and
-no more than 48 bytes. A unit's lattice holds all vocabulary pieces that match it, and single bytes for characters
-that have no piece. Pieces weigh 1 / (rank + 10) of their rank in the vocabulary. Forward filtering sums the weights of
+A text is cut into units where no piece of the vocabulary crosses: each word with all spaces before it, plain words
+apart from the punctuation after them. A unit is filtered whole, whatever its length; its lattice holds all vocabulary
+pieces that match it, and single bytes for characters that have no piece. Pieces weigh 1 / (rank + 10) of their rank in the vocabulary. Forward filtering sums the weights of
 all ways to each place; backward sampling then walks from the end, choosing each piece with its share. The lattice of
 each distinct unit is filtered once per task; all units of a batch are sampled together in numpy. The numbers come
 from a hash of the row key, the unit's place and the step, so a row's sample is the same in any batch, task or run.
@@ -15,6 +15,7 @@ A null doc_id is a key like any other; repeated rows get equal samples. An empty
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,8 @@ from timbrewell.llm.passages import Text
 from timbrewell.llm.tokens import tokenizer_path
 
 _PLAIN = r"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]{1,30})(?P<b>[!-/:-@\[-`{-~]{0,60})$"
-MOST_BYTES = 48
+#: From so few units on, Python takes them one by one, place by place, rather than numpy all at a place.
+FEW = 8
 MOST_UNITS = 400_000
 _open: dict[str, Lattices] = {}
 
@@ -70,8 +72,9 @@ class Lattices:
                 self.bytes[value], text = k, bytes([value])
             elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
                 text = model.id_to_piece(k).replace("▁", " ").encode()
-                if text.rfind(b" ") < 1:
-                    whole.append(k)
+                whole.append(k)
+                if b" " in text.lstrip(b" "):
+                    raise ValueError(f"piece {k} crosses from a word to a space, where texts are cut")
             spelled.append(text)
         self.weight = 1.0 / (np.arange(len(spelled)) + 10)
         self.weight[self.bytes] = 1.0 / (2 * len(spelled))
@@ -124,21 +127,10 @@ class Lattices:
 
     def _add_units(self, keys: list[str]) -> None:
         """Lattices of new units, filtered forwards all together."""
-        parts, counts = [], []
-        for key in keys:
-            body, n = key.encode(), 0
-            while len(body) > MOST_BYTES:
-                end = MOST_BYTES
-                while body[end] & 0xC0 == 0x80:
-                    end -= 1
-                parts.append(body[:end])
-                body, n = body[end:], n + 1
-            if body:
-                parts.append(body)
-                n += 1
-            counts.append(n)
+        whole = [key.encode() for key in keys]
+        counts = np.array([len(x) > 0 for x in whole], np.int64)
+        parts = [x for x in whole if x]
         sizes = np.array([len(x) for x in parts], np.int64)
-        counts = np.array(counts, np.int64)
         self.unit_at.extend(self.ends.n + np.cumsum(counts) - counts)
         self.unit_n.extend(counts)
         if not parts:
@@ -155,29 +147,37 @@ class Lattices:
         weight = self.weight[ids]
         low, n_states = int(base[0]), int((sizes + 1).sum())
         first = np.searchsorted(reach, np.arange(low, low + n_states + 1))
-        ahead = np.zeros(n_states)
+        # sums are mantissas and powers of two, as those of a long unit are below any float
+        ahead, power = np.zeros(n_states), np.zeros(n_states, np.int64)
         ahead[base - low] = 1.0
         upto = np.zeros(len(reach))
+        back_at = back - low
         by_place = np.argsort(local, kind="stable")
-        cuts = np.searchsorted(local[by_place], np.arange(1, MOST_BYTES + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        cuts = np.searchsorted(local[by_place], np.arange(1, int(sizes.max()) + 2))
+        longest = np.sort(sizes)
+        last = int(longest[-FEW - 1]) if len(longest) > FEW else 0  # beyond it at most FEW units go on
+        for a, b in zip(cuts[:last], cuts[1 : last + 1], strict=True):
             rows = by_place[a:b]  # the edges that end at one distance from their part's start, by state
             if not len(rows):
                 continue
-            share = ahead[back[rows] - low] * weight[rows]
             states = reach[rows]
             heads = np.flatnonzero(np.append(True, states[1:] != states[:-1]))
             size = np.diff(np.append(heads, len(rows)))
+            top = np.maximum.reduceat(power[back_at[rows]], heads)
+            share = np.ldexp(ahead[back_at[rows]] * weight[rows], power[back_at[rows]] - np.repeat(top, size))
             # sums run edge by edge, so that a unit's numbers don't depend on the units beside it
             total, within = np.zeros(len(heads)), np.empty(len(rows))
             for k in range(int(size.max())):
                 here = np.flatnonzero(size > k)
                 total[here] += share[heads[here] + k]
                 within[heads[here] + k] = total[here]
-            ahead[states[heads] - low] = total
+            ahead[states[heads] - low], shift_up = np.frexp(total)
+            power[states[heads] - low] = top + shift_up
             within /= np.repeat(total, size)
             within[np.append(heads[1:], len(rows)) - 1] = 2.0
             upto[rows] = within
+        for at, n in zip((base - low)[sizes > last].tolist(), sizes[sizes > last].tolist(), strict=True):
+            self._filter_on(at, last, n, first, back_at, weight, ahead, power, upto)
         edges = self.piece.n
         self.first_edge.n -= 1  # its last entry closes the states before
         self.first_edge.extend(first + edges)
@@ -186,6 +186,29 @@ class Lattices:
         self.upto.extend(upto)
         self.ends.extend(base + sizes)
 
+    @staticmethod
+    def _filter_on(at: int, last: int, n: int, first: np.ndarray, back: np.ndarray, weight: np.ndarray, ahead: np.ndarray, power: np.ndarray, upto: np.ndarray) -> None:
+        """The forward filter of one unit from state at, beyond its first last bytes: the same sums in the same order."""
+        low, high = int(first[at]), int(first[at + n + 1])
+        cuts = (first[at : at + n + 2] - low).tolist()
+        sources, weights = (back[low:high] - at).tolist(), weight[low:high].tolist()
+        sums, powers, shares = ahead[at : at + n + 1].tolist(), power[at : at + n + 1].tolist(), upto[low:high].tolist()
+        for state in range(last + 1, n + 1):
+            a, b = cuts[state], cuts[state + 1]
+            if a == b:
+                continue
+            top = max(powers[x] for x in sources[a:b])
+            total = 0.0
+            for k in range(a, b):
+                total += math.ldexp(sums[sources[k]] * weights[k], powers[sources[k]] - top)
+                shares[k] = total
+            for k in range(a, b):
+                shares[k] /= total
+            shares[b - 1] = 2.0
+            sums[state], up = math.frexp(total)
+            powers[state] = top + up
+        upto[low:high] = shares
+
     def _units(self, keys: list[str]) -> np.ndarray:
         get = self.units.get
         out = np.array([get(k, -1) for k in keys], np.int64)
@@ -230,8 +253,26 @@ class Lattices:
         for field, before in ((0, " "), (1, "")):
             part = plain.field(field).take(pa.array(there)).dictionary_encode()
             pairs[there, field] = self._units([before + x for x in part.dictionary.to_pylist()])[part.indices.to_numpy()]
+        # an empty word is one more space before the word that follows in its text
+        empty = pc.equal(words, "").to_numpy(zero_copy_only=False)[codes]
+        lasts = np.cumsum(counts) - 1
+        empty[lasts[counts > 0]] = False
+        held = np.flatnonzero(~empty)
+        spaces = np.diff(held, prepend=-1) - 1
+        counts = np.diff(np.append(0, np.cumsum(~empty))[np.append(0, np.cumsum(counts))])
+        codes = codes[held]
+        chosen = pairs[codes]
+        run = np.flatnonzero(spaces)
+        if len(run):
+            kinds, of = np.unique(np.stack([codes[run], spaces[run]]), axis=1, return_inverse=True)
+            spelled = words.take(pa.array(kinds[0])).to_pylist()
+            fields = plain.field(0).take(pa.array(kinds[0])).to_pylist()
+            starts = [a if u else w for a, w, u in zip(fields, spelled, usual[kinds[0]].tolist(), strict=True)]
+            # the same unit may come with several kinds
+            longer = pa.array([" " * (k + 1) + x for x, k in zip(starts, kinds[1].tolist(), strict=True)], pa.string()).dictionary_encode()
+            chosen[run, 0] = self._units(longer.dictionary.to_pylist())[longer.indices.to_numpy()][of.ravel()]
         # the parts of all units in a row
-        units = pairs[codes].ravel()
+        units = chosen.ravel()
         n = self.unit_n.held[units]
         ends = np.cumsum(n)
         state = self.ends.held[np.arange(ends[-1]) + np.repeat(self.unit_at.held[units] - (ends - n), n)]
@@ -246,7 +287,7 @@ class Lattices:
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         steps = np.zeros(len(state), np.int64)
         active = np.arange(len(state))
-        while len(active):
+        while len(active) > FEW:
             u = hash_numbers(key[active], place[active], len(taken))
             edge = first_edge[state[active]]
             more = np.flatnonzero(upto[edge] <= u)
@@ -259,12 +300,29 @@ class Lattices:
             state[active] = at
             # the first state of a unit has the same first edge as the one after it
             active = active[first_edge[at] != first_edge[at + 1]]
+        rest = [(who, self._walk_on(int(state[who]), key[who : who + 1], place[who : who + 1], len(taken))) for who in active.tolist()]
+        for who, ids in rest:
+            steps[who] += len(ids)
         ends = np.cumsum(steps)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
         for k, (who, ids) in enumerate(taken):
             out[ends[who] - 1 - k] = ids
+        for who, ids in rest:
+            out[ends[who] - len(taken) - len(ids) : ends[who] - len(taken)] = ids[::-1]
         return out, np.append(0, ends)[text_units]
 
+    def _walk_on(self, state: int, key: np.ndarray, place: np.ndarray, step: int) -> list[int]:
+        """The pieces of one unit from state back to its start, with the numbers from step on."""
+        first_edge, piece, back, upto = (x.held for x in (self.first_edge, self.piece, self.back, self.upto))
+        ids: list[int] = []
+        while first_edge[state] != first_edge[state + 1]:
+            edge, u = int(first_edge[state]), hash_numbers(key, place, step + len(ids))[0]
+            while upto[edge] <= u:
+                edge += 1
+            ids.append(int(piece[edge]))
+            state = int(back[edge])
+        return ids
+
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The bytes of each text."""
         sizes = self.spelled_size[ids]
