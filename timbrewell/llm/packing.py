@@ -4,9 +4,10 @@ The lengths of all pieces form a histogram of at most `capacity` counts; only th
 configuration is a multiset of lengths that fits a sequence. The covering program (as few configurations as serve
 every length's count) is solved by multiplicative weights: each round prices lengths by their weight, a knapsack
 dynamic program finds the configuration of the highest price, the configuration is added until one of its lengths
-is served once more, and the weights of served lengths shrink. The fractional solution is rounded down, and best-fit
-decreasing over the remaining counts fills the rest. The plan, whose size depends on the capacity and the number of
-rounds alone, deals each piece its sequence and place by the piece's rank among those of its length.
+is served once more, and the weights of served lengths shrink. Lengths that are not served after the given rounds are
+priced alone from there on, so that each further round serves one more of them whole. The fractional solution is rounded
+down, and best-fit decreasing over the remaining counts fills the rest. The plan, whose size depends on the capacity and
+the number of rounds alone, deals each piece its sequence and place by the piece's rank among those of its length.
 
 Null text counts as empty: one piece that holds the end id alone. Repeated rows are packed once each; rows with one
 id but other texts too. An empty table gives no rows. Other columns are ignored.
@@ -80,22 +81,28 @@ def best_configuration(prices: np.ndarray, lengths: np.ndarray, capacity: int) -
 def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float = 0.7) -> list[tuple[dict[int, int], float]]:
     """Configurations with amounts: an approximate solution of the covering program by multiplicative weights.
 
-    lengths ascend; a configuration maps an index of lengths to how often it occurs.
+    lengths ascend; a configuration maps an index of lengths to how often it occurs. Every length ends up served: after
+    the given rounds only lengths that are not served have a price, and there are at most len(lengths) rounds more.
     """
     if not len(lengths):
         return []
     served, weights = np.zeros(len(lengths)), np.ones(len(lengths))
     amounts: dict[tuple, float] = defaultdict(float)
-    for _ in range(rounds):
-        if served.min() >= 1:
-            break
-        found = best_configuration(weights * lengths * (1 + served.min() - np.minimum(served, 1) + 1e-3), lengths, capacity)
+    done = 0
+    while served.min() < 1:
+        late = done >= rounds
+        prices = np.where(served < 1, lengths, 0.0) if late else weights * lengths * (1 + served.min() - np.minimum(served, 1) + 1e-3)
+        found = best_configuration(prices, lengths, capacity)
         index, times = np.array(list(found)), np.array(list(found.values()))
-        step = float((counts[index] / times).min())
+        missing = (1 - served[index]) * counts[index] / times if late else counts[index] / times
+        step = float(missing.min())
         amounts[tuple(sorted(found.items()))] += step
         gain = times * step / counts[index]
         served[index] += gain
+        if late:  # whatever the rounding of the sum
+            served[index[missing.argmin()]] = 1.0
         weights[index] *= np.exp(-rate * gain)
+        done += 1
     return [(dict(k), v) for k, v in amounts.items()]
 
 
@@ -136,7 +143,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 600)
     lengths = np.array(sorted(x for x, n in histogram.items() if x < capacity and n), dtype=np.int64)
     counts = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
     solved = fractional(lengths, counts, capacity, rounds)
-    choices = [best_fit(lengths, counts, capacity)]
+    choices = []
     for scale in (1.0, 0.9, 0.75):
         left, taken = counts.copy(), []
         for held, amount in sorted(solved, key=lambda x: sum(int(lengths[i]) * t for i, t in x[0].items()), reverse=True):
@@ -146,8 +153,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 600)
                 for i, t in held.items():
                     left[i] -= n * t
         choices.append(taken + best_fit(lengths, left, capacity))
-    # equal numbers go to the linear program's plan
-    chosen = min(reversed(choices), key=lambda c: sum(n for _, n in c))
+    # equal numbers go to the plan with the most of the linear program
+    chosen = min(choices, key=lambda c: sum(n for _, n in c))
     out = [({int(lengths[i]): t for i, t in held.items()}, n) for held, n in chosen if n]
     return out + ([({capacity: 1}, full)] if full else [])
 
