@@ -28,6 +28,8 @@ FAN_IN = 4
 TARGET_BYTES = 128 << 20
 LEAST_BYTES = 1 << 20
 ROWS_A_SHARD = 2000
+#: Arrivals that the query's documents come in, by a hash of their id.
+ARRIVALS = 5
 #: Files (some 200 bytes each) whose names are broadcast at most; more are joined by shuffle.
 BROADCAST_FILES = 20_000
 
@@ -119,7 +121,7 @@ class ShardStore:
         """Adds an arrival as small shards; the new version."""
         before = self.version()
         at = f"{self.path}/data/{uuid.uuid4().hex}"
-        rows.select(*self.schema.names).write.option("maxRecordsPerFile", str(rows_a_shard)).option("compression", "zstd").parquet(at)
+        rows.select(*[F.col(f"`{c}`") for c in self.schema.names]).write.option("maxRecordsPerFile", str(rows_a_shard)).option("compression", "zstd").parquet(at)
         return self._commit(before + 1, self._shards(before) + self._sizes([at]))
 
     def compact(self, planner: Callable[..., list[list[str]]] = plan_merges) -> int:
@@ -162,11 +164,17 @@ class ShardStore:
 
 
 def shard_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, text_md5, shard (number in the manifest), shard_rows, tier and version, from a compacted store."""
+    """doc_id, n_chars, text_md5, shard (number in the manifest), shard_rows, tier and version, from a compacted store.
+
+    The store has all columns of docs. They come as several arrivals, with a compaction after each; files that it
+    replaced go, as nothing reads older versions here.
+    """
     spark = docs.sparkSession
-    store = ShardStore(spark, shared_path(spark, "shards"), docs.select("doc_id", "text").schema)
-    store.append(docs)
-    version = store.compact()
+    store = ShardStore(spark, shared_path(spark, "shards"), docs.schema)
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+        version = store.compact()
+        store.vacuum()
     shards = store.manifest(version).orderBy("path").collect()
     rows = store.read(version)
     if not shards:
