@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrewell.llm.common import smaller_batches, tidy
+from timbrewell.llm.common import portions, tidy
 
 _CONTROL = r"([<\[])(\\*)(s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\]|ROLE:|/ROLE\])"
 _PARTS = {"system": (b"<<SYS>>\n", b"\n<</SYS>>\n\n"), "user": (b"<s>[INST] ", b" [/INST]"), "assistant": (b" ", b" </s>")}
@@ -107,15 +107,12 @@ def assemble(roles: list[str], texts: pa.Array, breaks: np.ndarray) -> tuple[pa.
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """A row for each chunk of each conversation, chunks of one in order and in one partition."""
-    smaller_batches(conversations.sparkSession)
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number = object(), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in portions(batches, 1000, "text"):
             ids = batch["conv_id"].to_pylist()
             breaks = np.array([k for k in range(len(ids)) if k == 0 or ids[k] != ids[k - 1]])
             roles, texts = batch["role"].to_pylist(), batch["text"]
@@ -174,7 +171,7 @@ def digest(conversations: DataFrame) -> DataFrame:
             out = [[d[0], d[1], d[2].hexdigest(), d[3], d[4].hexdigest(), d[5]] for d in done]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-        for batch in batches:
+        for batch in portions(batches, 100):
             done = []
             for row in batch.to_pylist():
                 if row["chunk"] == 0:

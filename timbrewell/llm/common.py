@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -19,9 +20,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir. In one process (master local) a folder is made where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="timbrewell-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -50,11 +53,32 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    remove(spark, path)
+    _written[:] = [x for x in _written if x[1] != path]
+
+
+@contextlib.contextmanager
+def bounded(spark: SparkSession, more: dict[str, str] | None = None) -> Iterator[None]:
+    """Settings for what is run inside, and the caller's own again afterwards: Arrow batches of 16 MB at most."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": "16m"} | (more or {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def durable_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors. Also its path."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with bounded(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -69,16 +93,11 @@ def discard(spark: SparkSession, *paths: str) -> None:
     Spark removes a shuffle's files once the driver has collected its last reference.
     """
     for path in paths:
-        remove(spark, path)
+        forget(spark, path)
     gc.collect()
     spark._jvm.System.gc()
 
 
-def smaller_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch from here on, so that batches of long texts fit a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def slices(texts: pa.Array, size: int = 8 << 20) -> Iterator[pa.Array]:
     """Runs of texts of about so many bytes together, so that a worker's arrays don't follow the batch."""
     if len(texts):
@@ -118,13 +137,22 @@ def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return run
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow for functions of one batch."""
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 2000, text: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows at most, and with text of 8 MB of that column or one row."""
+    for batch in batches:
+        at = 0
+        for part in slices(batch[text]) if text else [batch] if batch.num_rows else []:
+            for k in range(0, len(part), rows):
+                yield batch.slice(at + k, min(rows, len(part) - k))
+            at += len(part)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, rows: int = 2000, text: str | None = None) -> DataFrame:
+    """mapInArrow for functions of one batch, in portions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+        for batch in portions(batches, rows, text):
+            yield from fn(batch)
 
     return df.mapInArrow(tidy(run), schema)
 

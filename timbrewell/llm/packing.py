@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timbrewell.llm.common import arrow_map, durable, smaller_batches
+from timbrewell.llm.common import arrow_map, durable
 from timbrewell.llm.tokens import tokenizer_path, word_tokens
 
 CAPACITY = 2048
@@ -34,7 +34,6 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of each document; only documents over the capacity are cut, the first piece is the rest."""
-    smaller_batches(docs.sparkSession, 2000)
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens(tokenizer)
@@ -191,7 +190,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = _slots(plan(histogram, capacity, rounds))
     buckets = max(16, sum(histogram.values()) // 200_000)
-    smaller_batches(docs.sparkSession)
     span = 1 << 42  # over any rank
     starts = slots[:, 0] * span + slots[:, 1]
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from timbrewell.llm.common import arrow_map, forget_at_end, joined, slices, smaller_batches
+from timbrewell.llm.common import arrow_map, forget_at_end, joined, slices
 from timbrewell.llm.passages import Text
 from timbrewell.llm.tokens import tokenizer_path
 
@@ -355,7 +355,6 @@ def row_keys(ids: list[int | None], seed: int) -> np.ndarray:
 
 def sampled_pieces(docs: DataFrame, model: str | None = None, seed: int = 1) -> DataFrame:
     """doc_id, pieces (ids) and text (decoded from them) of each row."""
-    smaller_batches(docs.sparkSession, 2000)
     path = model or tokenizer_path("piece_bpe_32k.model")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -370,7 +369,6 @@ def sampled_pieces(docs: DataFrame, model: str | None = None, seed: int = 1) ->
 
 def piece_digest(docs: DataFrame, model: str | None = None, seed: int = 1) -> DataFrame:
     """doc_id, n_pieces, pieces_crc32 (of little-endian 32-bit ids), n_chars and decoded_sha256 of each row."""
-    smaller_batches(docs.sparkSession, 2000)
     path = model or tokenizer_path("piece_bpe_32k.model")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timbrewell.llm.common import RangeGroups, arrow_map, durable, shared_path, smaller_batches, tidy
+from timbrewell.llm.common import RangeGroups, arrow_map, bounded, durable, shared_path, tidy
 from timbrewell.llm.tokens import tokenizer_path, word_tokens
 
 END_ID = 2
@@ -117,7 +117,6 @@ def frequencies(rows: DataFrame) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Files of blocks at path/blocks and the dictionary at path/dictionary."""
     spark = docs.sparkSession
-    smaller_batches(spark, 2000)
     rows, _ = tokenized(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id)
     order = frequencies(rows)
     rank = np.zeros(1 << 16, np.uint32)
@@ -150,7 +149,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             yield done()
 
     dealt = rows.repartition("grp").sortWithinPartitions("grp", F.col("doc_id").asc_nulls_first(), "crc")
-    dealt.mapInArrow(tidy(blocks), "grp long, number long, base long, n long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    with bounded(spark):
+        dealt.mapInArrow(tidy(blocks), "grp long, number long, base long, n long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def _bases(blocks: DataFrame) -> DataFrame:
@@ -163,7 +163,6 @@ def _bases(blocks: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of each document in the files."""
-    smaller_batches(spark, 100)
     table = spark.read.parquet(f"{path}/dictionary").toPandas().sort_values("rank")
     order = table["id"].to_numpy().astype("<u4")
     blocks = spark.read.parquet(f"{path}/blocks")
