@@ -15,9 +15,9 @@ suffixes are only grouped by their first 100 bytes, by hash, and not sorted furt
 the suffix array. Keys are 64-bit hashes of exact byte ranges: among n keys, n * n / 2**65 false meetings are to be
 expected (about 0.00002 for 25 million).
 
-Texts travel in blocks of some 2 MB, packed where they are read. A block's keys are made distinct before they are
-sent, so a passage in a third of all rows costs one entry a block. Tasks look up a bounded range of hashes each and
-answer one bit for each entry. Memory follows the block, or the longest single text.
+Texts are laid out once in blocks of some 2 MB (blocks.py) and never moved: keys go out and bits come back. A block's
+keys are made distinct before they are sent, so a passage in a third of all rows costs one entry a block. Tasks look up
+a bounded range of hashes each and answer one bit for each entry. Memory follows the block, or the longest single text.
 
 Null text counts as empty; texts under 100 bytes stay whole. A null doc_id comes first. Rows with one id come in a
 fixed order (block, then text), so of repeated rows all but the first lose what they share. An empty table gives no
@@ -28,21 +28,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrewell.llm.common import discard, durable, durable_at, smaller_batches, tidy
+from timbrewell.llm.blocks import Block, Blocks, each_block, expand, squeeze
+from timbrewell.llm.common import discard, durable
 from timbrewell.llm.keys import MESSAGE, Distinct, answers_of, log_parts_of, message_batch
 
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1
 BLOCK_BYTES = 2 << 20
+BITS = "block long, repeats binary, unsettled binary, holders binary"
 _BASE = 0x9E3779B97F4A7C15 | 1
-BLOCK = "block long, extra binary, sizes binary, body binary, repeats binary, unsettled binary, holders binary"
 
 
 class _Powers:
@@ -133,86 +134,6 @@ def _sliding(values: np.ndarray, keep: np.ufunc) -> np.ndarray:
     return keep(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-# ---------------------------------------------------------------- blocks
-
-
-def _ipc(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _from_ipc(raw: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(raw).read_next_batch()
-
-
-def _squeeze(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _expand(raw: bytes) -> bytes:
-    size = int.from_bytes(raw[:8], "little")
-    return pa.decompress(raw[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
-
-
-def _block_row(block: int, extra: pa.RecordBatch, sizes: np.ndarray, body: bytes, *bits: bytes) -> pa.RecordBatch:
-    held = [_ipc(extra), sizes.astype("<u4").tobytes(), _squeeze(body), *(bits or [b""] * 3)]
-    columns = [pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in held)]
-    return pa.RecordBatch.from_arrays(columns, ["block", "extra", "sizes", "body", "repeats", "unsettled", "holders"])
-
-
-def pack_blocks(docs: DataFrame) -> DataFrame:
-    """The rows in blocks, as they are read; in a block they follow one another by doc_id and text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def done() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            ids, texts = rows["doc_id"].to_pylist(), [(x or "").encode() for x in rows["text"].to_pylist()]
-            order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, texts[k]))
-            extra = rows.select([c for c in rows.schema.names if c != "text"]).take(pa.array(order))
-            texts = [texts[k] for k in order]
-            return _block_row(number, extra, np.array([len(x) for x in texts]), b"".join(texts))
-
-        for batch in batches:
-            at = 0
-            sizes = [len(x) if x else 0 for x in batch["text"].to_pylist()]
-            for k, n in enumerate(sizes):
-                size += n
-                if size >= BLOCK_BYTES:
-                    held.append(batch.slice(at, k + 1 - at))
-                    yield done()
-                    number, held, size, at = number + 1, [], 0, k + 1
-            if at < len(sizes):
-                held.append(batch.slice(at))
-        if held:
-            yield done()
-
-    return docs.mapInArrow(tidy(run), BLOCK)
-
-
-class Block:
-    """A block's row, opened."""
-
-    def __init__(self, row: dict):
-        self.number, self.extra = row["block"], _from_ipc(row["extra"])
-        self.sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
-        self.body = np.frombuffer(_expand(row["body"]), np.uint8)
-        bits = (np.unpackbits(np.frombuffer(_expand(row[c]), np.uint8), count=len(self.body)).astype(bool) if row[c] else np.zeros(len(self.body), bool) for c in ("repeats", "unsettled", "holders"))
-        self.repeats, self.unsettled, self.holders = bits
-        ids = self.extra["doc_id"].to_pylist()
-        self.ids = np.array([-(1 << 63) if x is None else x for x in ids], np.int64)
-
-
-def _opened(batches: Iterator[pa.RecordBatch], more: str | None = None) -> Iterator[tuple[Block, list]]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
-            yield Block(row), (row[more] or [] if more else [])
-
-
 # ---------------------------------------------------------------- the passes
 
 
@@ -233,12 +154,47 @@ def _windows(block: Block, starts: np.ndarray) -> Distinct:
     return Distinct(text.hashes(starts, starts + WINDOW), np.searchsorted(text.ends, starts, "right"))
 
 
-def _cut_docs(block: Block, chosen: np.ndarray, number: int, *bits: np.ndarray) -> pa.RecordBatch:
-    """A block of the chosen texts with their bits."""
-    held = np.repeat(chosen, block.sizes)
-    rows = block.extra.take(pa.array(np.flatnonzero(chosen)))
-    packed = [_squeeze(np.packbits(x[held]).tobytes()) if x[held].any() else b"" for x in bits]
-    return _block_row(number, rows, block.sizes[chosen], block.body[held].tobytes(), *packed)
+def _packed(number: int, *bits: np.ndarray) -> pa.RecordBatch:
+    """A row of bits for the bytes of a block."""
+    held = [squeeze(np.packbits(x).tobytes()) if x.any() else b"" for x in bits]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in held)], ["block", "repeats", "unsettled", "holders"])
+
+
+def _unpacked(raw: bytes | None, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(expand(raw), np.uint8), count=n).astype(bool) if raw else np.zeros(n, bool)
+
+
+class Open:
+    """The texts of a block that have open windows, as a block of their own, and the bits of its bytes."""
+
+    def __init__(self, block: Block, unsettled: bytes, holders: bytes):
+        n = len(block.body)
+        bits = [_unpacked(x, n) for x in (unsettled, holders)]
+        upto = np.append(0, np.cumsum(bits[0] | bits[1]))
+        ends = np.cumsum(block.sizes)
+        chosen = upto[ends] > upto[ends - block.sizes]
+        self.there = np.repeat(chosen, block.sizes)
+        self.block = SimpleNamespace(number=block.number, sizes=block.sizes[chosen], body=block.body[self.there], ids=block.ids[chosen])
+        self.unsettled, self.holders = (x[self.there] for x in bits)
+        self.starts = np.flatnonzero(self.unsettled | self.holders)
+
+    def triggers(self) -> tuple[Distinct, np.ndarray]:
+        """The strings of the open windows' triggers, and which of them a window asks for."""
+        text, _, triggers, index, strings = _triggers(self.block)
+        of = index[self.starts]
+        distinct = Distinct(strings.keys[strings.of[of]], np.searchsorted(text.ends, triggers[of], "right"))
+        asks = np.zeros(len(distinct.keys), bool)
+        asks[distinct.of[self.unsettled[self.starts]]] = True
+        return distinct, asks
+
+    def narrowed(self, answers: list[dict]) -> np.ndarray:
+        """Of the block's bytes, the holders that some window asks for."""
+        distinct, _ = self.triggers()
+        asked = np.zeros(len(self.block.body), bool)
+        asked[self.starts[distinct.answer(answers, 3, "flagged")[distinct.of]]] = True
+        out = np.zeros(len(self.there), bool)
+        out[self.there] = self.holders & asked
+        return out
 
 
 def _finish(block: Block, repeats: np.ndarray, whole_characters: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -268,80 +224,58 @@ def dedup_passages(docs: DataFrame, whole_characters: bool = False, digest: bool
     text is binary, or a string if only whole characters go, or with digest the SHA-256 in hex of what stays.
     """
     spark = docs.sparkSession
-    smaller_batches(spark)
-    blocks, blocks_path = durable_at(pack_blocks(docs), "blocks")
-    smaller_batches(spark, 16)
-    total = blocks.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("n")).first()["n"] * 3
+    blocks = Blocks(docs, "passages", by_id=True, size=BLOCK_BYTES)
+    total = blocks.rows.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("n")).first()["n"] * 3
     log_parts = log_parts_of(total // 35)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _ in _opened(batches):
-            text, _, triggers, _, strings = _triggers(block)
-            suffixes = _suffixes(text, triggers)[2]
-            if rows := strings.messages(block, 0, log_parts) + suffixes.messages(block, 1, log_parts):
-                yield message_batch(rows)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, answers in _opened(batches, "answers"):
-            text, valid, triggers, index, strings = _triggers(block)
-            at, to, suffixes = _suffixes(text, triggers)
-            seen = np.flatnonzero(suffixes.later(answers, 1))
-            change = np.zeros(text.n + 1, np.int32)
-            np.add.at(change, at[seen], 1)
-            np.add.at(change, to[seen], -1)
-            repeats = (np.cumsum(change[:-1]) > 0) & valid
-            later, shared = strings.later(answers, 0), strings.shared(answers, 0)
-            unsettled, holders = np.zeros(text.n, bool), np.zeros(text.n, bool)
-            rest = np.flatnonzero(valid & ~repeats)
-            unsettled[rest] = later[index[rest]]
-            holders[rest] = (shared & ~later)[index[rest]]
-            open_ = np.append(0, np.cumsum(unsettled | holders))
-            pending = open_[text.ends] > open_[text.starts]
-            for chosen in (pending, ~pending):
-                if chosen.any():
-                    yield _cut_docs(block, chosen, block.number, repeats, unsettled, holders)
-
-    def name_triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _ in _opened(batches):
-            named = _named(block)
-            if rows := named[1].messages(block, 3, log_parts, named[2]):
-                yield message_batch(rows)
-
-    def _named(block: Block) -> tuple[np.ndarray, Distinct, np.ndarray]:
-        """Open windows, the strings of their triggers, and which strings a window asks for."""
-        text, _, triggers, index, strings = _triggers(block)
-        starts = np.flatnonzero(block.unsettled | block.holders)
-        of = index[starts]
-        distinct = Distinct(strings.keys[strings.of[of]], np.searchsorted(text.ends, triggers[of], "right"))
-        asks = np.zeros(len(distinct.keys), bool)
-        asks[distinct.of[block.unsettled[starts]]] = True
-        return starts, distinct, asks
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(block: Block) -> Iterator[pa.RecordBatch]:
+        text, _, triggers, _, strings = _triggers(block)
+        suffixes = _suffixes(text, triggers)[2]
+        if rows := strings.messages(block, 0, log_parts) + suffixes.messages(block, 1, log_parts):
+            yield message_batch(rows)
+
+    def settle(block: Block, answers: list | None) -> Iterator[pa.RecordBatch]:
+        answers = answers or []
+        text, valid, triggers, index, strings = _triggers(block)
+        at, to, suffixes = _suffixes(text, triggers)
+        seen = np.flatnonzero(suffixes.later(answers, 1))
+        change = np.zeros(text.n + 1, np.int32)
+        np.add.at(change, at[seen], 1)
+        np.add.at(change, to[seen], -1)
+        repeats = (np.cumsum(change[:-1]) > 0) & valid
+        later, shared = strings.later(answers, 0), strings.shared(answers, 0)
+        unsettled, holders = np.zeros(text.n, bool), np.zeros(text.n, bool)
+        rest = np.flatnonzero(valid & ~repeats)
+        unsettled[rest] = later[index[rest]]
+        holders[rest] = (shared & ~later)[index[rest]]
+        if repeats.any() or unsettled.any() or holders.any():
+            yield _packed(block.number, repeats, unsettled, holders)
+
+    def name_triggers(block: Block, unsettled: bytes, holders: bytes) -> Iterator[pa.RecordBatch]:
+        open_ = Open(block, unsettled, holders)
+        strings, asks = open_.triggers()
+        if rows := strings.messages(open_.block, 3, log_parts, asks):
+            yield message_batch(rows)
+
+    def narrow(block: Block, unsettled: bytes, holders: bytes, answers: list | None) -> Iterator[pa.RecordBatch]:
         """Holders that nobody asks for are settled."""
-        for block, answers in _opened(batches, "answers"):
-            starts, distinct, _ = _named(block)
-            asked = np.zeros(len(block.body), bool)
-            asked[starts[distinct.answer(answers, 3, "flagged")[distinct.of]]] = True
-            every = np.ones(len(block.sizes), bool)
-            yield _cut_docs(block, every, block.number, block.repeats, block.unsettled, block.holders & asked)
-
-    def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _ in _opened(batches):
-            if rows := _windows(block, np.flatnonzero(block.unsettled | block.holders)).messages(block, 2, log_parts):
-                yield message_batch(rows)
-
-    # answers are small; once they are written, the messages' shuffle can go before the blocks' begins
-    answers = durable(answers_of(blocks.mapInArrow(tidy(ask), MESSAGE)), "answers")
+        asked = Open(block, unsettled, holders).narrowed(answers or [])
+        yield _packed(block.number, np.zeros(0, bool), _unpacked(unsettled, len(block.body)), asked)
+
+    def ask_windows(block: Block, unsettled: bytes, holders: bytes) -> Iterator[pa.RecordBatch]:
+        open_ = Open(block, unsettled, holders)
+        if rows := _windows(open_.block, open_.starts).messages(open_.block, 2, log_parts):
+            yield message_batch(rows)
+
+    # what is written here is small: bits of the blocks' bytes; the messages' shuffles go as soon as it is
+    answers = durable(answers_of(each_block(blocks.rows, ask, MESSAGE)), "answers")
     discard(spark)
-    settled = durable(blocks.join(answers, "block", "left").mapInArrow(tidy(settle), BLOCK), "settled")
-    del answers
-    discard(spark, blocks_path)
+    bits = durable(each_block(blocks.joined(answers), settle, BITS, "answers"), "bits")
     is_open = (F.length("unsettled") > 0) | (F.length("holders") > 0)
-    open_rows = settled.where(is_open)
-    named = durable(answers_of(open_rows.mapInArrow(tidy(name_triggers), MESSAGE)), "named")
-    narrowed = durable(open_rows.join(named, "block", "left").mapInArrow(tidy(narrow), BLOCK), "narrowed")
-    del named
+    open_bits = bits.where(is_open).drop("repeats")
+    named = durable(answers_of(each_block(blocks.only(open_bits), name_triggers, MESSAGE, "unsettled", "holders")), "named")
+    narrowed = durable(each_block(blocks.only(open_bits.join(named, "block", "left")), narrow, BITS, "unsettled", "holders", "answers"), "narrowed").drop("repeats")
+    asked = durable(answers_of(each_block(blocks.only(narrowed.where(is_open)), ask_windows, MESSAGE, "unsettled", "holders")), "asked")
     discard(spark)
 
     columns = [c for c in docs.columns if c != "text"]
@@ -349,26 +283,24 @@ def dedup_passages(docs: DataFrame, whole_characters: bool = False, digest: bool
     schema = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast(kind).alias("text")).schema
     schema = schema.add("__bytes", "long").add("__removed", "long").add("__spans", "long")
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, got in _opened(batches, "answers"):
-            repeats = block.repeats
-            starts = np.flatnonzero(block.unsettled | block.holders)
-            if len(starts):
-                repeats[starts[_windows(block, starts).later(got, 2)]] = True
-            removed, runs, kept = _finish(block, repeats, whole_characters)
-            if digest:
-                texts = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
-            elif whole_characters:
-                texts = pa.array([x.decode() for x in kept], pa.string())
-            else:
-                texts = pa.array(kept, pa.binary())
-            values = [pa.array(x.astype(np.int64)) for x in (block.sizes, removed, runs)]
-            yield pa.RecordBatch.from_arrays([*block.extra.columns, texts, *values], [*block.extra.schema.names, "text", "__bytes", "__removed", "__spans"])
-
-    asked = answers_of(narrowed.mapInArrow(tidy(ask_windows), MESSAGE))
-    none = F.lit(None).cast(asked.schema["answers"].dataType).alias("answers")
-    closed = settled.where(~is_open).select("*", none).mapInArrow(tidy(finish), schema)
-    out = closed.unionAll(narrowed.join(asked, "block", "left").mapInArrow(tidy(finish), schema))
+    def finish(block: Block, repeats: bytes | None, unsettled: bytes | None, holders: bytes | None, got: list | None) -> Iterator[pa.RecordBatch]:
+        gone = _unpacked(repeats, len(block.body))
+        if unsettled or holders:
+            open_ = Open(block, unsettled, holders)
+            places = np.flatnonzero(open_.there)[open_.starts]
+            gone[places[_windows(open_.block, open_.starts).later(got or [], 2)]] = True
+        removed, runs, kept = _finish(block, gone, whole_characters)
+        if digest:
+            texts = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
+        elif whole_characters:
+            texts = pa.array([x.decode() for x in kept], pa.string())
+        else:
+            texts = pa.array(kept, pa.binary())
+        values = [pa.array(x.astype(np.int64)) for x in (block.sizes, removed, runs)]
+        yield pa.RecordBatch.from_arrays([*block.extra.columns, texts, *values], [*block.extra.schema.names, "text", "__bytes", "__removed", "__spans"])
+
+    verdicts = bits.select("block", "repeats").join(narrowed, "block", "left").join(asked, "block", "left")
+    out = each_block(blocks.joined(verdicts), finish, schema, "repeats", "unsettled", "holders", "answers")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__bytes", "__removed", "__spans")
 
 
