@@ -92,3 +92,48 @@ def test_regions_part_and_agree():
             if len(sets[a]) and len(sets[b]) and jaccard.linked(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b]))):
                 slow.join(a, b)
     assert roots == [slow.find(k) for k in range(len(sets))]
+
+
+def test_one_id_and_other_texts(spark):
+    x, other = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, x), (5, other), (2, x + " end"), (None, other + " end"), (None, "alone of all"), (7, None), (7, "")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, rep string")
+    assert Counter(map(tuple, jaccard.jaccard_join(df).collect())) == plain(rows)
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(5, other), (2, x + " end"), (None, "alone of all"), (7, ""), (7, "")])
+
+
+def test_many_repeated_rows_are_one_class(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", 8)
+    monkeypatch.setattr(jaccard, "SMALL_REGION", 4)
+    monkeypatch.setattr(jaccard, "CELL", 10)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(80)]
+    texts = [" ".join(base)]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rows = [(3, texts[0])] * 10_000 + list(enumerate(texts[1:], 10))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, jaccard.jaccard_join(df).collect()))
+    few = plain([(3, texts[0]), *enumerate(texts[1:], 10)])
+    assert got == Counter({k: n * (10_000 if k[0] == 3 else 1) for k, n in few.items()})
+    assert sum(r["doc_id"] == 3 for r in jaccard.keep_one(df).collect()) == 1
+
+
+def test_pivots_part_a_region():
+    """Members of dense clusters are settled by a few pivots, and only those in a foreign window are counted in full."""
+    rng = random.Random(5)
+    texts = []
+    for c in range(4):
+        base = [f"c{c}w{k}" for k in range(100)]
+        for _ in range(100):
+            w = list(base)
+            w[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    region = jaccard.Region(jaccard.shingle_sets(pa.array(texts)))
+    assert region.pivots == 4 and region.counted == 0
+    assert len({region.forest.find(k) for k in range(400)}) == 4
