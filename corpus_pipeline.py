@@ -1,9 +1,9 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns
-of documents, with n_chars following the text; further columns pass through. Null texts count as empty. Rows without
-an id are never dropped as duplicates, since nothing names them. An empty table gives an empty result of the same
-columns at each stage.
+of documents, with n_chars following the text; further columns pass through. Null texts count as empty. Of rows that
+duplicate one another one stays, the one with the smallest id (null ids come last); unlike texts under one id all stay.
+An empty table gives an empty result of the same columns at each stage.
 """
 
 from __future__ import annotations
@@ -32,10 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    found = jaccard.jaccard_join(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of each group of near-duplicates the row with the smallest id stays; rows are judged by their texts, not by id."""
+    return _documents(jaccard.keep_one(docs), docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
