@@ -2,12 +2,17 @@
 
 The lengths of all pieces form a histogram of at most `capacity` counts; only that reaches the driver. A
 configuration is a multiset of lengths that fits a sequence. The covering program (as few configurations as serve
-every length's count) is solved by multiplicative weights: each round prices lengths by their weight, a knapsack
-dynamic program finds the configuration of the highest price, the configuration is added until one of its lengths
-is served once more, and the weights of served lengths shrink. Lengths that are not served after the given rounds are
-priced alone from there on, so that each further round serves one more of them whole. The fractional solution is rounded
-down, and best-fit decreasing over the remaining counts fills the rest. The plan, whose size depends on the capacity and
-the number of rounds alone, deals each piece its sequence and place by the piece's rank among those of its length.
+every length's count) is solved by multiplicative weights: each round prices lengths by their weight, one knapsack
+dynamic program gives for every length the configuration of the highest price that holds it, each is added until one of
+its lengths is served, and weights shrink by how far a length is served. A round serves at least one length whole, so
+there are at most as many rounds as lengths. The weights are also a solution of the dual program, whose value bounds
+what any packing needs; learning rates are tried until the program's value is within GAP of that bound, or the best is
+kept.
+
+The solution is rounded down, then up where counts allow it and the configuration is full; what remains is a smaller
+histogram, whose program is solved in turn, until rounding places nothing more. Best-fit decreasing places the rest.
+The plan, whose size depends on the capacity alone, deals each piece its sequence and place by the piece's rank among
+those of its length.
 
 Null text counts as empty: one piece that holds the end id alone. Repeated rows are packed once each; rows with one
 id but other texts too. An empty table gives no rows. Other columns are ignored.
@@ -29,6 +34,8 @@ from timbrewell.llm.tokens import tokenizer_path, word_tokens
 
 CAPACITY = 2048
 END_ID = 0
+#: Learning rates, and the gap between the program and its dual (a share of it) that ends the search.
+RATES, GAP = (0.02, 0.1, 0.5, 2.0), 0.001
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -55,54 +62,103 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return arrow_map(docs.select("doc_id", "text"), cut, PIECES)
 
 
+class Knapsack:
+    """The multisets of lengths with the highest price for every room up to the capacity."""
+
+    def __init__(self, prices: np.ndarray, lengths: np.ndarray, capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+        for room in range(int(lengths[0]) if len(lengths) else capacity + 1, capacity + 1):
+            values = prices[: upto[room]] + best[room - lengths[: upto[room]]]
+            top = int(values.argmax())
+            best[room], last[room] = (values[top], top) if values[top] > best[room - 1] else (best[room - 1], -1)
+        self.best, self.last = best, last.tolist()
+
+    def fill(self, room: int) -> dict[int, int]:
+        """Indexes of lengths, and how often each occurs."""
+        found: dict[int, int] = defaultdict(int)
+        while room > 0:
+            if (top := self.last[room]) < 0:
+                room -= 1
+                continue
+            found[top] += 1
+            room -= int(self.lengths[top])
+        return found
+
+
 def best_configuration(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
     """Knapsack by dynamic programming: the multiset of lengths with the highest price that fits."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        n = np.searchsorted(lengths, room, "right")
-        best[room] = best[room - 1]
-        if n:
-            values = prices[:n] + best[room - lengths[:n]]
-            top = int(values.argmax())
-            if values[top] > best[room]:
-                best[room], last[room] = values[top], top
-    found: dict[int, int] = defaultdict(int)
-    room = capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-            continue
-        found[int(last[room])] += 1
-        room -= int(lengths[last[room]])
-    return dict(found)
-
-
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float = 0.7) -> list[tuple[dict[int, int], float]]:
-    """Configurations with amounts: an approximate solution of the covering program by multiplicative weights.
-
-    lengths ascend; a configuration maps an index of lengths to how often it occurs. Every length ends up served: after
-    the given rounds only lengths that are not served have a price, and there are at most len(lengths) rounds more.
+    return dict(Knapsack(prices, lengths, capacity).fill(capacity))
+
+
+def _solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float) -> tuple[dict[tuple, float], float]:
+    """Configurations with amounts that serve every length, and the dual's value."""
+    left, random = counts.astype(float), np.random.default_rng(len(lengths))
+    amounts: dict[tuple, float] = defaultdict(float)
+    bound = float((lengths * counts).sum()) / capacity
+    while left.max() > 0:
+        there = np.flatnonzero(left > 0)
+        sizes = lengths[there]
+        # ties among full configurations are broken at random, so that one round's fill differs from room to room
+        prices = sizes * np.exp(rate * (left[there] / counts[there] - 1)) * (1 + 1e-3 * random.random(len(there)))
+        sack = Knapsack(prices, sizes, capacity)
+        bound = max(bound, float((prices * counts[there]).sum() / sack.best[capacity]))
+        for i in range(len(there) - 1, -1, -1):
+            if left[there[i]] <= 0:
+                continue
+            held = sack.fill(capacity - int(sizes[i]))
+            held[i] += 1
+            index, times = there[np.array(list(held))], np.array(list(held.values()))
+            step = float((left[index] / times).min())
+            if step > 0:
+                amounts[tuple(sorted(zip(index.tolist(), times.tolist(), strict=True)))] += step
+                left[index] -= step * times
+                left[index[(left[index] / times).argmin()]] = 0  # whatever the rounding of the difference
+                left[left < 1e-9 * counts] = 0
+    return amounts, bound
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Configurations with amounts that serve every length, and a lower bound of any solution's value.
+
+    lengths ascend; a configuration maps an index of lengths to how often it occurs.
     """
     if not len(lengths):
-        return []
-    served, weights = np.zeros(len(lengths)), np.ones(len(lengths))
-    amounts: dict[tuple, float] = defaultdict(float)
-    done = 0
-    while served.min() < 1:
-        late = done >= rounds
-        prices = np.where(served < 1, lengths, 0.0) if late else weights * lengths * (1 + served.min() - np.minimum(served, 1) + 1e-3)
-        found = best_configuration(prices, lengths, capacity)
-        index, times = np.array(list(found)), np.array(list(found.values()))
-        missing = (1 - served[index]) * counts[index] / times if late else counts[index] / times
-        step = float(missing.min())
-        amounts[tuple(sorted(found.items()))] += step
-        gain = times * step / counts[index]
-        served[index] += gain
-        if late:  # whatever the rounding of the sum
-            served[index[missing.argmin()]] = 1.0
-        weights[index] *= np.exp(-rate * gain)
-        done += 1
-    return [(dict(k), v) for k, v in amounts.items()]
+        return [], 0.0
+    best: dict[tuple, float] = {}
+    bound = 0.0
+    for rate in RATES:
+        amounts, below = _solve(lengths, counts, capacity, rate)
+        bound = max(bound, below)
+        if not best or sum(amounts.values()) < sum(best.values()):
+            best = amounts
+        if sum(best.values()) <= bound * (1 + GAP):
+            break
+    return [(dict(k), v) for k, v in best.items()], bound
+
+
+def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Configurations and how many sequences follow each, by rounding the program and those of what remains; what is left over."""
+    left, taken = counts.copy(), []
+    while True:
+        there = np.flatnonzero(left)
+        solved, _ = fractional(lengths[there], left[there], capacity)
+        before = len(taken)
+        for up in (False, True):
+            for held, amount in sorted(solved, key=lambda x: (-x[1], sorted(x[0].items()))):
+                config = {int(there[i]): t for i, t in held.items()}
+                whole = int(amount + 1e-9)
+                if up:  # one more of a full configuration whose amount was cut
+                    full = sum(int(lengths[i]) * t for i, t in config.items()) == capacity
+                    whole = int(full and amount - whole > 1e-9)
+                n = min(whole, *(int(left[i]) // t for i, t in config.items()))
+                if n > 0:
+                    taken.append((config, n))
+                    for i, t in config.items():
+                        left[i] -= n * t
+        if len(taken) == before:
+            return taken, left
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -136,25 +192,13 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return [x for group in open_ for x in group]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 600) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Configurations (length to times) and how many sequences follow each; every piece is placed once."""
     full = histogram.get(capacity, 0)
     lengths = np.array(sorted(x for x, n in histogram.items() if x < capacity and n), dtype=np.int64)
     counts = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    solved = fractional(lengths, counts, capacity, rounds)
-    choices = []
-    for scale in (1.0, 0.9, 0.75):
-        left, taken = counts.copy(), []
-        for held, amount in sorted(solved, key=lambda x: sum(int(lengths[i]) * t for i, t in x[0].items()), reverse=True):
-            n = min(int(amount * scale), *(int(left[i]) // t for i, t in held.items()))
-            if n > 0:
-                taken.append((held, n))
-                for i, t in held.items():
-                    left[i] -= n * t
-        choices.append(taken + best_fit(lengths, left, capacity))
-    # equal numbers go to the plan with the most of the linear program
-    chosen = min(choices, key=lambda c: sum(n for _, n in c))
-    out = [({int(lengths[i]): t for i, t in held.items()}, n) for held, n in chosen if n]
+    taken, left = rounded(lengths, counts, capacity)
+    out = [({int(lengths[i]): t for i, t in held.items()}, n) for held, n in [*taken, *best_fit(lengths, left, capacity)] if n]
     return out + ([({capacity: 1}, full)] if full else [])
 
 
@@ -184,11 +228,11 @@ def ranked(cut: DataFrame, buckets: int) -> DataFrame:
     return joined.select(*cut.columns, (F.col("_r") + F.col("_base")).alias("rank"))
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, rounds: int = 600) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Each piece with sequence_id and offset."""
     cut = durable(pieces(docs, tokenizer or tokenizer_path("byte_bpe_50k.json"), capacity, end_id), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = _slots(plan(histogram, capacity, rounds))
+    slots = _slots(plan(histogram, capacity))
     buckets = max(16, sum(histogram.values()) // 200_000)
     span = 1 << 42  # over any rank
     starts = slots[:, 0] * span + slots[:, 1]
