@@ -17,16 +17,16 @@ def md5(x):
 
 def plain(text):
     leaves = re.findall(r"[^\n]{1,64}\n?|\n", text)
-    marked = "".join(md5(x)[:8] + ("/" if x.endswith("\n") else "") for x in leaves)
+    marked = "".join(md5(x) + ("/" if x.endswith("\n") else "") for x in leaves)
     tree = "".join(p + "/" + ("|" if md5(p)[0] in "08" else "") for p in marked.split("/") if p)
     nodes = "".join(md5("".join(md5(p) for p in s.split("/"))) for s in tree.split("|"))
-    return hashlib.sha256(nodes.encode()).hexdigest() + ":" + tree
+    return hashlib.sha256(nodes.encode()).hexdigest() + ":" + re.sub("([0-9a-f]{16})[0-9a-f]{16}", r"\1", tree)
 
 
 def like(a, b):
     if a == b:
         return 1.0
-    x, y = ({f[65:][m.start() : m.end()] for m in re.finditer("[0-9a-f]{8}", f[65:])} for f in (a, b))
+    x, y = ({f[65:][m.start() : m.end()] for m in re.finditer("[0-9a-f]{16}", f[65:])} for f in (a, b))
     n = len(x) + len(y)
     return min(2 * len(x & y) / max(n, 1), 1 - 1 / (n + 1))
 
@@ -85,3 +85,14 @@ def test_groups_follow_the_order(spark):
     got = {r["doc_id"]: r["g"] for r in df.select("doc_id", groups.key().alias("g")).collect()}
     order = [got[k] for k in sorted(set(ids))]
     assert order == sorted(order) and got[None] == 0 and max(order) < groups.count and len(set(order)) > 8
+
+
+def test_leaves_that_begin_alike_differ(spark):
+    """Two texts whose hashes agree in 32 bits have other fingerprints."""
+    seen, pair, k = {}, None, 0
+    while not pair:
+        text = f"clause {k:09d} is the same in all of these contracts"
+        other = seen.setdefault(md5(text)[:8], text)
+        pair, k = (other, text) if other != text else None, k + 1
+    rows = fingerprints.fingerprints(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")).collect()
+    assert rows[0]["fingerprint"] != rows[1]["fingerprint"] and rows[0]["near_next"] < 1

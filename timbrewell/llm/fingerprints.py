@@ -2,9 +2,10 @@
 
 Leaves are pieces of at most 64 code points that start anew at each paragraph (a line with its line feed). A
 paragraph's node hashes its leaves, a section's node its paragraphs, the root its sections. A section ends after a
-paragraph whose node starts with 0 or 8, so an insertion moves no later section. The fingerprint is the root's
-SHA-256 in hex, a colon, and the leaves (8 hex each) with / after each paragraph and | after each section: roots
-test equality, and unequal branches say where two texts differ.
+paragraph whose node starts with 0 or 8, so an insertion moves no later section. All nodes hash the whole MD5 of what
+is below them, so roots test equality. The fingerprint is the root's SHA-256 in hex, a colon, and a mark for each leaf
+(the first MARK hex digits of its hash) with / after each paragraph and | after each section: unequal branches say where
+two texts differ, and common marks how like they are.
 
 Null text counts as empty: no leaves and the root of nothing. Equal texts have equal fingerprints whatever their
 other columns. Rows with one id come in the order of their texts. A single row is its own next document.
@@ -17,15 +18,15 @@ from pyspark.sql import functions as F
 
 from timbrewell.llm.common import RangeGroups
 
-PIECE = 64
+PIECE, MARK = 64, 16
 #: Groups whose bounds (some 32 bytes each) are broadcast at most; beyond it they are joined by shuffle.
 BROADCAST_GROUPS = 200_000
 
 
 def _sql(text: str) -> str:
-    """SQL of the fingerprint of a string expression."""
+    """SQL of the tree of a string expression."""
     leaves = f"regexp_extract_all({text}, '[^\\\\n]{{1,{PIECE}}}\\\\n?|\\\\n', 0)"
-    marked = f"array_join(transform({leaves}, x -> concat(substring(md5(x), 1, 8), CASE WHEN endswith(x, '\\n') THEN '/' ELSE '' END)), '')"
+    marked = f"array_join(transform({leaves}, x -> concat(md5(x), CASE WHEN endswith(x, '\\n') THEN '/' ELSE '' END)), '')"
     paragraphs = f"filter(split({marked}, '/'), x -> x <> '')"
     nodes = f"transform({paragraphs}, x -> concat(x, '/', CASE WHEN substring(md5(x), 1, 1) IN ('0', '8') THEN '|' ELSE '' END))"
     return f"array_join({nodes}, '')"
@@ -37,14 +38,15 @@ def tree(text: Column | str) -> Column:
 
 
 def fingerprint(tree_column: str) -> Column:
-    """Root and leaves; the root hashes the nodes of the sections, which hash those of their paragraphs."""
+    """Root and marks of the leaves; the root hashes the nodes of the sections, which hash those of their paragraphs."""
     nodes = F.expr(f"array_join(transform(split({tree_column}, '[|]'), s -> md5(array_join(transform(split(s, '/'), p -> md5(p)), ''))), '')")
-    return F.concat(F.sha2(nodes, 256), F.lit(":"), F.col(tree_column))
+    marks = F.regexp_replace(tree_column, f"([0-9a-f]{{{MARK}}})[0-9a-f]{{{32 - MARK}}}", "$1")
+    return F.concat(F.sha2(nodes, 256), F.lit(":"), marks)
 
 
 def leaf_set(fp: str) -> Column:
-    """Distinct leaves of a fingerprint."""
-    return F.expr(f"array_distinct(regexp_extract_all(substring({fp}, 66), '[0-9a-f]{{8}}', 0))")
+    """Distinct marks of a fingerprint."""
+    return F.expr(f"array_distinct(regexp_extract_all(substring({fp}, 66), '[0-9a-f]{{{MARK}}}', 0))")
 
 
 def likeness(a: str, b: str, set_a: str, set_b: str) -> Column:
@@ -120,12 +122,12 @@ def fingerprints(docs: DataFrame, rows_each: int = 1000) -> DataFrame:
 
 
 def _duck(text: str) -> str:
-    marked = f"array_to_string(list_transform(regexp_extract_all({text}, '[^\\n]{{1,{PIECE}}}\\n?|\\n'), lambda x: left(md5(x), 8) || CASE WHEN suffix(x, chr(10)) THEN '/' ELSE '' END), '')"
+    marked = f"array_to_string(list_transform(regexp_extract_all({text}, '[^\\n]{{1,{PIECE}}}\\n?|\\n'), lambda x: md5(x) || CASE WHEN suffix(x, chr(10)) THEN '/' ELSE '' END), '')"
     return f"array_to_string(list_transform(list_filter(string_split({marked}, '/'), lambda x: x <> ''), lambda x: x || '/' || CASE WHEN left(md5(x), 1) IN ('0', '8') THEN '|' ELSE '' END), '')"
 
 
 def _duck_fp(t: str) -> str:
-    return f"sha256(array_to_string(list_transform(string_split({t}, '|'), lambda s: md5(array_to_string(list_transform(string_split(s, '/'), lambda p: md5(p)), ''))), '')) || ':' || {t}"
+    return f"sha256(array_to_string(list_transform(string_split({t}, '|'), lambda s: md5(array_to_string(list_transform(string_split(s, '/'), lambda p: md5(p)), ''))), '')) || ':' || regexp_replace({t}, '([0-9a-f]{{{MARK}}})[0-9a-f]{{{32 - MARK}}}', '\\1', 'g')"
 
 
 def _duck_like(a: str, b: str, sa: str, sb: str) -> str:
@@ -138,9 +140,9 @@ n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST, text), fi
 e AS (SELECT *, substring(text, 1, length(text) - length(text) // 2) || substring(nt, 1, length(text) // 2) AS ed FROM n),
 t AS (SELECT *, {_duck("text")} AS t1, {_duck("ed")} AS t2, {_duck("nt")} AS t3 FROM e),
 f AS (SELECT *, {_duck_fp("t1")} AS f1, {_duck_fp("t2")} AS f2, {_duck_fp("t3")} AS f3 FROM t),
-s AS (SELECT *, list_distinct(regexp_extract_all(t1, '[0-9a-f]{{8}}')) AS s1, list_distinct(regexp_extract_all(t2, '[0-9a-f]{{8}}')) AS s2,
-        list_distinct(regexp_extract_all(t3, '[0-9a-f]{{8}}')) AS s3,
-        list_filter(string_split(replace(t2, '|', ''), '/'), lambda x: x <> '') AS p2, string_split(replace(t1, '|', ''), '/') AS p1 FROM f)
+s AS (SELECT *, list_distinct(regexp_extract_all(substring(f1, 66), '[0-9a-f]{{{MARK}}}')) AS s1, list_distinct(regexp_extract_all(substring(f2, 66), '[0-9a-f]{{{MARK}}}')) AS s2,
+        list_distinct(regexp_extract_all(substring(f3, 66), '[0-9a-f]{{{MARK}}}')) AS s3,
+        list_filter(string_split(replace(substring(f2, 66), '|', ''), '/'), lambda x: x <> '') AS p2, string_split(replace(substring(f1, 66), '|', ''), '/') AS p1 FROM f)
 SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, f1 AS fingerprint, f2 AS edited_fingerprint,
   {_duck_like("f1", "f2", "s1", "s2")} AS near_edited, {_duck_like("f1", "f3", "s1", "s3")} AS near_next,
   CAST(len(list_filter(p2, lambda x: NOT list_contains(p1, x))) AS BIGINT) AS n_changed_paragraphs FROM s
