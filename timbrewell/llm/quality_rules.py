@@ -1,10 +1,19 @@
 """Quality rules with adaptive thresholds (native: DataFrame and SQL functions only).
 
 Every text gets counts from built-in array functions. For each language and source a mergeable quantile sketch of
-four ratios is kept: a log-linear histogram (64 exact cells, then cells of 1/32 relative width), which is a plain
-grouped count. Such sketches merge by adding counts, partial aggregation makes them before the shuffle, and they
+four ratios and two sizes is kept: a log-linear histogram (64 exact cells, then cells of 1/32 relative width), which is
+a plain grouped count. Such sketches merge by adding counts, partial aggregation makes them before the shuffle, and they
 come out the same whatever order tasks run in. Small groups use the merged sketch of their language, then of all
-documents. Thresholds are the outer fences of the quartiles, joined back to the rows.
+documents. Thresholds come from the sketch alone, in which up to a fifth of a group may be junk at either end:
+
+  - Word length stays within LENGTH_FENCE spreads of the group's 20th and 80th percentiles; a spread is what lies
+    between these two and a cell's width.
+  - Of the ratios that are mostly 0 the 80th percentile and one event in a text of the group's median size make the
+    spread; the fence is EVENT_FENCE spreads above the percentile. An event is a symbol, a repeated line, or two
+    windows of three words.
+
+So a source with long texts gets lower limits than one with short texts, and one that uses symbols gets higher limits
+than one that doesn't. Limits are joined back to the rows.
 
 Null text or an empty one has no words, so it fails the base rule. Null language or source is a group of its own.
 Repeated rows and rows with one id are judged one by one. An empty table gives no rows.
@@ -19,9 +28,10 @@ from timbrewell.llm.common import durable
 
 BLANK = r"[\x20\x09-\x0D]+"
 METRICS = ("q_len", "q_sym", "q_dup", "q_rep")
-#: Least distance of a fence from its quartile, in the ratio's unit (hundredths of a character; thousandths).
-SLACK = {"q_len": 200, "q_sym": 150, "q_dup": 400, "q_rep": 350}
-FENCE = 3
+#: For each ratio of events: the size it refers to, and an event in thousandths.
+EVENTS = {"q_sym": ("n_words", 1000), "q_dup": ("n_lines", 1000), "q_rep": ("n_words", 6000)}
+SIZES = ("n_words", "n_lines")
+LENGTH_FENCE, EVENT_FENCE = 4, 20
 LEAST_ROWS = 64
 
 _REPEATS = """
@@ -41,7 +51,7 @@ element_at(transform(array(_words), w -> CASE WHEN size(w) < 3 THEN 0L ELSE
 
 
 def add_counts(docs: DataFrame) -> DataFrame:
-    """The docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the four ratios."""
+    """The docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed and the four ratios."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumn("_words", F.array_remove(F.split(text, BLANK), "")).withColumn("_lines", lines)
@@ -53,23 +63,23 @@ def add_counts(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (n_lines - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         F.expr(_REPEATS).alias("n_repeat_words"),
-        n_lines.alias("_n_lines"),
+        n_lines.alias("n_lines"),
     )
     return out.withColumns(
         {
             "base_failed": (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50),
             "q_len": F.expr("word_chars * 100 div greatest(n_words, 1)"),
             "q_sym": F.expr("n_symbols * 1000 div greatest(n_words, 1)"),
-            "q_dup": F.expr("n_dup_lines * 1000 div greatest(_n_lines, 1)"),
+            "q_dup": F.expr("n_dup_lines * 1000 div greatest(n_lines, 1)"),
             "q_rep": F.expr("n_repeat_words * 1000 div greatest(n_words, 1)"),
         }
-    ).drop("_n_lines")
+    )
 
 
 def sketch(counted: DataFrame) -> DataFrame:
     """lang, source, metric, cell, n: the histograms of the rows that the base rule keeps."""
     # a filter on base_failed itself would be pushed below the counts and make them twice
-    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.when(~F.col("base_failed"), F.col(m)).alias("v")) for m in METRICS]))
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.when(~F.col("base_failed"), F.col(m)).alias("v")) for m in (*METRICS, *SIZES)]))
     rows = counted.select("lang", "source", cells.alias("c")).where("c.v IS NOT NULL")
     shift = F.expr("greatest(length(bin(c.v)) - 6, 0)")
     return (
@@ -80,7 +90,7 @@ def sketch(counted: DataFrame) -> DataFrame:
     )
 
 
-def _quartiles(cells: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+def _quantiles(cells: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     by = Window.partitionBy(*keys, "metric")
     ranked = (
         cells.groupBy(*keys, "metric", "cell")
@@ -89,29 +99,29 @@ def _quartiles(cells: DataFrame, keys: list[str], prefix: str) -> DataFrame:
         .withColumn("total", F.sum("n").over(by))
     )
     picked = [F.max("total").alias(f"{prefix}_n")]
-    for m in METRICS:
-        for q, share in (("lo", 1), ("hi", 3)):
-            there = (F.col("metric") == m) & (F.col("upto") * 4 >= F.col("total") * share)
-            picked.append(F.min(F.when(there, F.col("cell"))).alias(f"{prefix}_{m}_{q}"))
+    wanted = [(m, q, tenths) for m in METRICS for q, tenths in (("lo", 2), ("hi", 8))] + [(m, "mid", 5) for m in SIZES]
+    for m, q, tenths in wanted:
+        there = (F.col("metric") == m) & (F.col("upto") * 10 >= F.col("total") * tenths)
+        picked.append(F.min(F.when(there, F.col("cell"))).alias(f"{prefix}_{m}_{q}"))
     return ranked.groupBy(*keys).agg(*picked)
 
 
 def thresholds(cells: DataFrame) -> DataFrame:
     """lang, source and the fences of each group, from its own sketch or the merged one of its language or of all."""
-    own = _quartiles(cells, ["lang", "source"], "g")
-    lang = _quartiles(cells, ["lang"], "l").withColumnRenamed("lang", "l_lang")
-    everything = _quartiles(cells, [], "a")
+    own = _quantiles(cells, ["lang", "source"], "g")
+    lang = _quantiles(cells, ["lang"], "l").withColumnRenamed("lang", "l_lang")
+    everything = _quantiles(cells, [], "a")
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").crossJoin(F.broadcast(everything))
 
     def level(name: str) -> Column:
         return F.when(F.col("g_n") >= LEAST_ROWS, F.col(f"g_{name}")).when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{name}")).otherwise(F.col(f"a_{name}"))
 
-    out = [F.col("lang").alias("_lang"), F.col("source").alias("_source")]
-    for m in METRICS:
-        lo, hi = level(f"{m}_lo"), level(f"{m}_hi")
-        width = F.greatest(F.lit(SLACK[m]), (hi - lo) * FENCE)
-        out += [(hi + width).alias(f"_{m}_max"), (lo - width).alias(f"_{m}_min")]
-    return joined.select(*out)
+    picked = {f"{m}_{q}": level(f"{m}_{q}") for m in METRICS for q in ("lo", "hi")} | {f"{m}_mid": level(f"{m}_mid") for m in SIZES}
+    groups = joined.select("lang", "source", *[c.alias(name) for name, c in picked.items()])
+    spread = f"{LENGTH_FENCE} * (q_len_hi - q_len_lo + q_len_hi div 32)"
+    out = [F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.expr(f"q_len_lo - {spread}").alias("_q_len_min"), F.expr(f"q_len_hi + {spread}").alias("_q_len_max")]
+    out += [F.expr(f"{m}_hi + {EVENT_FENCE} * {m}_hi + {EVENT_FENCE * event} div greatest({of}_mid, 1)").alias(f"_{m}_max") for m, (of, event) in EVENTS.items()]
+    return groups.select(*out)
 
 
 def judge(counted: DataFrame, fences: DataFrame) -> DataFrame:
@@ -135,14 +145,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality_rules keeps, with docs' own columns.
 
-    Sketches and verdicts are keyed by content, so a row goes exactly when its own counts fail. The verdicts
-    travel to the texts, not the other way round, unless they are too many for a hash join in memory.
+    The rows are written with their counts, so that texts are counted once and not moved: limits come to them.
     """
     names = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "lang", "source", "text")}
     plain = docs.withColumnsRenamed(names)
-    counted = add_counts(plain)
-    fences = durable(thresholds(sketch(add_counts(plain.select("lang", "source", "text")))), "fences")
-    kept = judge(counted, fences).where("kept").select(*plain.columns)
+    counted = durable(add_counts(plain), "quality")
+    kept = judge(counted, durable(thresholds(sketch(counted)), "fences")).where("kept").select(*plain.columns)
     return kept.withColumnsRenamed({v: k for k, v in names.items()})
 
 
@@ -163,23 +171,22 @@ m AS (SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
         word_chars * 100 // greatest(n_words, 1) AS q_len, n_symbols * 1000 // greatest(n_words, 1) AS q_sym,
         n_dup_lines * 1000 // greatest(n_lines, 1) AS q_dup, n_repeat_words * 1000 // greatest(n_words, 1) AS q_rep FROM m),
-v AS (SELECT lang, source, metric, v FROM (SELECT lang, source, q_len, q_sym, q_dup, q_rep FROM b WHERE NOT base_failed)
-      UNPIVOT (v FOR metric IN (q_len, q_sym, q_dup, q_rep))),
+v AS (SELECT lang, source, metric, v FROM (SELECT lang, source, CAST(q_len AS BIGINT) AS q_len, CAST(q_sym AS BIGINT) AS q_sym, CAST(q_dup AS BIGINT) AS q_dup, CAST(q_rep AS BIGINT) AS q_rep, n_words, n_lines FROM b WHERE NOT base_failed)
+      UNPIVOT (v FOR metric IN (q_len, q_sym, q_dup, q_rep, n_words, n_lines))),
 c AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS cell, count(*) AS n FROM v GROUP BY ALL),
 s AS (SELECT 0 AS lv, lang, source, metric, cell, n FROM c UNION ALL
       SELECT 1, lang, NULL, metric, cell, sum(n) FROM c GROUP BY ALL UNION ALL
       SELECT 2, NULL, NULL, metric, cell, sum(n) FROM c GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, metric ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, metric) AS total FROM s),
-q AS (SELECT lv, lang, source, metric, max(total) AS n, min(cell) FILTER (upto * 4 >= total) AS lo, min(cell) FILTER (upto * 4 >= total * 3) AS hi FROM u GROUP BY ALL),
+q AS (SELECT lv, lang, source, metric, max(total) AS n, min(cell) FILTER (upto * 10 >= total * 2) AS lo, min(cell) FILTER (upto * 10 >= total * 8) AS hi, min(cell) FILTER (upto * 10 >= total * 5) AS mid FROM u GROUP BY ALL),
 k AS (SELECT g.lang, g.source, g.metric,
-        CASE WHEN g.n >= {LEAST_ROWS} THEN g.lo WHEN l.n >= {LEAST_ROWS} THEN l.lo ELSE a.lo END AS lo,
-        CASE WHEN g.n >= {LEAST_ROWS} THEN g.hi WHEN l.n >= {LEAST_ROWS} THEN l.hi ELSE a.hi END AS hi
+        {", ".join(f"CASE WHEN g.n >= {LEAST_ROWS} THEN g.{x} WHEN l.n >= {LEAST_ROWS} THEN l.{x} ELSE a.{x} END AS {x}" for x in ("lo", "hi", "mid"))}
       FROM (SELECT * FROM q WHERE lv = 0) g JOIN (SELECT * FROM q WHERE lv = 1) l ON g.lang IS NOT DISTINCT FROM l.lang AND g.metric = l.metric
       JOIN (SELECT * FROM q WHERE lv = 2) a ON g.metric = a.metric),
-f AS (SELECT lang, source,
-        {", ".join(f"max(CASE WHEN metric = '{m}' THEN hi + greatest({SLACK[m]}, (hi - lo) * {FENCE}) END) AS {m}_max, max(CASE WHEN metric = '{m}' THEN lo - greatest({SLACK[m]}, (hi - lo) * {FENCE}) END) AS {m}_min" for m in METRICS)}
-      FROM k GROUP BY ALL)
-SELECT doc_id, b.lang, b.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CAST(q_len AS BIGINT) AS q_len, CAST(q_sym AS BIGINT) AS q_sym,
+p2 AS (SELECT lang, source, {", ".join(f"max({x}) FILTER (metric = '{m}') AS {m}_{x}" for m in (*METRICS, *SIZES) for x in ("lo", "hi", "mid"))} FROM k GROUP BY ALL),
+f AS (SELECT lang, source, q_len_lo - {LENGTH_FENCE} * (q_len_hi - q_len_lo + q_len_hi // 32) AS q_len_min, q_len_hi + {LENGTH_FENCE} * (q_len_hi - q_len_lo + q_len_hi // 32) AS q_len_max,
+        {", ".join(f"{m}_hi + {EVENT_FENCE} * {m}_hi + {EVENT_FENCE * event} // greatest({of}_mid, 1) AS {m}_max" for m, (of, event) in EVENTS.items())} FROM p2)
+SELECT doc_id, b.lang, b.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, CAST(q_len AS BIGINT) AS q_len, CAST(q_sym AS BIGINT) AS q_sym,
   CAST(q_dup AS BIGINT) AS q_dup, CAST(q_rep AS BIGINT) AS q_rep,
   NOT base_failed AND coalesce(q_len >= q_len_min AND {" AND ".join(f"{m} <= {m}_max" for m in METRICS)}, true) AS kept
 FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
