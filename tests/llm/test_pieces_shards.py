@@ -1,5 +1,6 @@
 """Sampled pieces against exact shares and round trips; shards against planned sizes and versions."""
 
+import hashlib
 import math
 from collections import Counter
 
@@ -7,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from timbrewell.llm import pieces, shards
 from timbrewell.llm.tokens import tokenizer_path
@@ -98,11 +100,34 @@ def test_store(spark, tmp_path, sf_dir):
     assert store.read(3).count() == docs.where("doc_id % 9 < 3").count()
     assert store.compact() == version  # nothing more to merge
     with pytest.raises(Exception, match="(?i)exist"):
-        store._commit(version, [])
+        store._commit(version, store.manifest())
     assert store.version() == version
     assert store.vacuum() > 0 and store.read().count() == docs.count()
 
 
+def test_large_plans_are_quick():
+    groups = shards.plan_merges([(f"s{k:06d}", 1000 + k % 7) for k in range(60_000)])
+    named = [p for g in groups for p in g]
+    assert len(named) == len(set(named)) and len(named) > 59_000
+
+
+def test_slots_part_evenly(spark):
+    slots = shards.slots_of(37)
+    df = spark.createDataFrame([(x,) for x in slots], "x long").repartition(37, "x").select(F.spark_partition_id().alias("p"))
+    assert df.distinct().count() == 37
+
+
+def test_shard_query_against_the_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [r.asDict() for r in shards.shard_documents(docs).collect()]
+    want = {r["doc_id"]: (len(r["text"]), hashlib.md5(r["text"].encode()).hexdigest()) for r in docs.collect()}
+    assert len(rows) == len(want) and {r["doc_id"]: (r["n_chars"], r["text_md5"]) for r in rows} == want
+    held = Counter(r["shard"] for r in rows)
+    assert sorted(held) == list(range(len(held))) and len({r["version"] for r in rows}) == 1
+    for r in rows:
+        assert r["shard_rows"] == held[r["shard"]] and r["tier"] == 0
+
+
 def test_shard_query(spark):
     df = spark.createDataFrame([(1, None, "s"), (1, None, "s"), (None, "", "t"), (2, "x" * 1000, None)], "doc_id long, text string, shard string")
     rows = shards.shard_documents(df).collect()

@@ -18,10 +18,12 @@ import math
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from timbrewell.llm.blocks import spark_hash
 from timbrewell.llm.common import shared_path
 
 FAN_IN = 4
@@ -40,28 +42,50 @@ def tier(size: int, least: int = LEAST_BYTES) -> int:
 
 
 def plan_merges(shards: list[tuple[str, int]], target: int = TARGET_BYTES, least: int = LEAST_BYTES) -> list[list[str]]:
-    """Groups of shards (path, bytes) to rewrite as one file each; the others stay."""
-    live: list[tuple[int, int, list[str]]] = [(size, age, [path]) for age, (path, size) in enumerate(shards) if size < target // 2]
-    fresh = len(shards)
-    while True:
-        tiers: dict[int, list[tuple[int, int, list[str]]]] = {}
-        for x in sorted(live, key=lambda x: x[1]):
-            tiers.setdefault(tier(x[0], least), []).append(x)
-        merged = False
-        for level in sorted(tiers):
-            run: list[tuple[int, int, list[str]]] = []
-            for x in tiers[level]:
-                if sum(y[0] for y in run) + x[0] > target * 5 // 4:
+    """Groups of shards (path, bytes) to rewrite as one file each; the others stay.
+
+    Tiers are worked through upwards; what a merge makes joins the end of its own tier.
+    """
+    tiers: dict[int, list[tuple[int, list[str]]]] = {}
+    for path, size in shards:
+        if size < target // 2:
+            tiers.setdefault(tier(size, least), []).append((size, [path]))
+    merged: list[tuple[int, list[str]]] = []
+    level = min(tiers, default=0)
+    while level <= max(tiers, default=-1):
+        waiting, again = tiers.get(level, []), True
+        while again:
+            again, passed, run, size = False, [], [], 0
+            for x in waiting:
+                if size + x[0] > target * 5 // 4:
+                    passed.append(x)
                     continue
                 run.append(x)
+                size += x[0]
                 if len(run) == FAN_IN:
-                    live = [y for y in live if not any(y is z for z in run)]
-                    live.append((sum(y[0] for y in run), fresh, [p for y in run for p in y[2]]))
-                    fresh, run, merged = fresh + 1, [], True
-            if merged:
-                break
-        if not merged:
-            return [paths for _, _, paths in live if len(paths) > 1]
+                    made = (size, [p for _, paths in run for p in paths])
+                    if tier(size, least) == level:
+                        passed.append(made)
+                    else:
+                        tiers.setdefault(tier(size, least), []).append(made)
+                    again, run, size = True, [], 0
+            waiting = run + passed
+        merged += [x for x in waiting if len(x[1]) > 1]
+        level += 1
+    return [paths for _, paths in merged]
+
+
+def slots_of(n: int) -> list[int]:
+    """n numbers that Spark deals to n partitions, one to each, when it deals by their hash."""
+    slots: list[int | None] = [None] * n
+    at, missing = 0, n
+    while missing:
+        numbers = np.arange(at, at + 4 * n + 64)
+        for number, slot in zip(numbers.tolist(), (spark_hash(numbers).astype(np.int64) % n).tolist(), strict=True):
+            if slots[slot] is None:
+                slots[slot], missing = number, missing - 1
+        at += len(numbers)
+    return slots
 
 
 class ShardStore:
@@ -92,11 +116,11 @@ class ShardStore:
         line = self.spark.read.text(f"{self.path}/versions/{version:010d}").first()["value"]
         return self.spark.read.schema(self.MANIFEST).parquet(json.loads(line)["manifest"])
 
-    def _commit(self, version: int, shards: list[tuple[str, int, int, int]]) -> int:
+    def _commit(self, version: int, shards: DataFrame) -> int:
         """Make shards the given version, or fail if another writer did so first."""
         jvm, context = self._fs()
         at = f"{self.path}/manifests/{uuid.uuid4().hex}"
-        self.spark.createDataFrame(shards, self.MANIFEST).coalesce(1).write.parquet(at)
+        shards.write.parquet(at)
         hadoop = jvm.org.apache.hadoop.fs
         made = hadoop.Path(f"{at}.json")
         fs = made.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -109,40 +133,45 @@ class ShardStore:
         context.rename(fs.makeQualified(made), fs.makeQualified(hadoop.Path(f"{self.path}/versions/{version:010d}")), none)
         return version
 
-    def _sizes(self, paths: list[str]) -> list[tuple[str, int, int, int]]:
-        rows = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(*paths)
+    def _sizes(self, path: str) -> DataFrame:
+        """The shards that were written to a folder."""
+        rows = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(path)
         found = rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("rows"))
-        return [(r["path"], r["bytes"], r["rows"], tier(r["bytes"], self.least)) for r in found.orderBy("path").collect()]
-
-    def _shards(self, version: int) -> list[tuple[str, int, int, int]]:
-        return [tuple(r) for r in self.manifest(version).orderBy("path").collect()]
+        # the tier as tier() has it: one more for each factor of FAN_IN
+        steps = [F.when(F.col("bytes") >= self.least * FAN_IN**k, 1).otherwise(0) for k in range(1, 24) if self.least * FAN_IN**k < 1 << 62]
+        return found.withColumn("tier", sum(steps, F.lit(0)))
 
     def append(self, rows: DataFrame, rows_a_shard: int = ROWS_A_SHARD) -> int:
         """Adds an arrival as small shards; the new version."""
         before = self.version()
         at = f"{self.path}/data/{uuid.uuid4().hex}"
         rows.select(*[F.col(f"`{c}`") for c in self.schema.names]).write.option("maxRecordsPerFile", str(rows_a_shard)).option("compression", "zstd").parquet(at)
-        return self._commit(before + 1, self._shards(before) + self._sizes([at]))
+        return self._commit(before + 1, self.manifest(before).unionByName(self._sizes(at)))
 
     def compact(self, planner: Callable[..., list[list[str]]] = plan_merges) -> int:
-        """Merges similar shards; the new version, or the present one if there is nothing to merge."""
+        """Merges similar shards; the new version, or the present one if there is nothing to merge.
+
+        Only the names and sizes of shards that may be merged reach the driver.
+        """
         before = self.version()
-        shards = self._shards(before)
-        groups = planner([(path, size) for path, size, _, _ in shards], self.target, self.least)
+        shards = self.manifest(before)
+        small = shards.where(F.col("bytes") < self.target // 2).orderBy("path").select("path", "bytes").collect()
+        groups = planner([(r["path"], r["bytes"]) for r in small], self.target, self.least)
         if not groups:
             return before
-        of = [(path, k) for k, group in enumerate(groups) for path in group]
+        slots = slots_of(len(groups))
+        of = [(path, slots[k]) for k, group in enumerate(groups) for path in group]
         rows = self.spark.read.schema(self.schema).parquet(*[path for path, _ in of])
         names = {c: f"c{i}" for i, c in enumerate(self.schema.names)}
         plain = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("_metadata.file_path").alias("_path"))
-        table = self.spark.createDataFrame(of, "_path string, _group int")
+        table = self.spark.createDataFrame(of, "_path string, _group long")
         dealt = plain.join(F.broadcast(table) if len(of) <= BROADCAST_FILES else table, "_path").drop("_path")
         at = f"{self.path}/data/{uuid.uuid4().hex}"
-        # a merged shard is at most a quarter over the target, so one task can write it
-        dealt = dealt.repartition(2 * len(groups), "_group").select(*[F.col(n).alias(c) for c, n in names.items()], F.col("_group").alias("__group"))
+        # a task for each merged shard, which is at most a quarter over the target
+        dealt = dealt.repartition(len(groups), "_group").select(*[F.col(n).alias(c) for c, n in names.items()], F.col("_group").alias("__group"))
         dealt.write.option("compression", "zstd").partitionBy("__group").parquet(at)
-        gone = {path for path, _ in of}
-        return self._commit(before + 1, [x for x in shards if x[0] not in gone] + self._sizes([at]))
+        stay = shards.join(table.select(F.col("_path").alias("path")), "path", "left_anti")
+        return self._commit(before + 1, stay.unionByName(self._sizes(at)))
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
@@ -155,12 +184,16 @@ class ShardStore:
         """Removes files that the latest version doesn't use; how many."""
         jvm, _ = self._fs()
         now = self.version()
-        used = {x[0] for x in self._shards(now)}
-        old = {x[0] for v in range(1, now) for x in self._shards(v)} - used
-        for path in old:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, False)
-        return len(old)
+        if not now:
+            return 0
+        every = self.manifest(1).select("path")
+        for v in range(2, now):
+            every = every.unionByName(self.manifest(v).select("path"))
+        gone = 0
+        for row in every.distinct().join(self.manifest(now).select("path"), "path", "left_anti").toLocalIterator():
+            at = jvm.org.apache.hadoop.fs.Path(row["path"])
+            gone += bool(at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, False))
+        return gone
 
 
 def shard_documents(docs: DataFrame) -> DataFrame:
@@ -175,10 +208,11 @@ def shard_documents(docs: DataFrame) -> DataFrame:
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
         version = store.compact()
         store.vacuum()
-    shards = store.manifest(version).orderBy("path").collect()
+    manifest = store.manifest(version)
+    # numbered in the order of their paths: a window over files, of which there is one for some 100 MB of documents
+    table = manifest.withColumn("shard", F.row_number().over(Window.orderBy("path")) - 1)
+    table = table.select(F.col("path").alias("_path"), "shard", F.col("rows").alias("shard_rows"), "tier")
     rows = store.read(version)
-    if not shards:
-        return rows.select("doc_id", F.lit(0).cast("long").alias("n_chars"), F.lit("").alias("text_md5"), *[F.lit(0).alias(c) for c in ("shard", "shard_rows", "tier", "version")])
-    table = spark.createDataFrame([(r["path"], k, r["rows"], r["tier"]) for k, r in enumerate(shards)], "_path string, shard int, shard_rows long, tier int")
-    digest = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), F.col("_metadata.file_path").alias("_path"))
+    named = F.col("_metadata.file_path") if manifest.limit(1).count() else F.lit("")
+    digest = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), named.alias("_path"))
     return digest.join(table, "_path").drop("_path").withColumn("version", F.lit(version))
