@@ -60,11 +60,13 @@ def test_entry(spark):
 
 
 def test_pattern_priority_reads_past_200(spark, tmp_path):
-    filler = "x" * 250 + " "
-    rows = [(3, filler + "composed by Late Name"), (4, filler + "composed by Late Name"), (7, "y" * 2970 + " music by Edge Case"), (11, "y" * 2990 + " music by Edge Case"), (15, None)]
+    filler = "the music of " + "x" * 250 + " "
+    rows = [(3, filler + "composed by Late Name"), (7, "Soundtrack " + "y" * 2959 + " music by Edge Case"), (11, "Soundtrack " + "y" * 2980 + " music by Edge Case"), (15, None)]
+    # pages that don't tell of music in their first 2,000 characters are passed over
+    rows += [(19, "x" * 250 + " composed by Late Name"), (23, "z" * 2000 + " music by Late Name")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["composer"] for r in QUERIES["pattern_priority"](spark, str(tmp_path)).collect()}
-    assert got == {3: "Late Name", 4: "Late Name", 7: "Edge Case", 11: None, 15: None}
+    assert got == {3: "Late Name", 7: "Edge Case", 11: None, 15: None, 19: None, 23: None}
 
 
 def test_sweep_and_clusters_are_whole(spark, sf_dir, monkeypatch):

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 
 import numpy as np
@@ -82,6 +83,54 @@ def test_opm_without_head_loses_the_first_lines(spark):
     assert [(r["LFRQ"], r["M1_AR"]) for r in rows] == [(1, 1), (None, 1)]
 
 
+def test_opm_too_many_presets(spark, monkeypatch):
+    monkeypatch.setattr(opm, "IDS_A_FILE", 2)
+    with pytest.raises(Exception, match="too many presets"):
+        parsed(spark, HEAD + "".join(preset(k, f"N{k}") for k in range(3)))
+
+
+def test_listing_walk(spark):
+    pack = '<h2>Game {0}</h2><a href="/packs/composer/{0}">C{0}</a>'
+    link = '<a href="?p=9">Next »</a>'
+    page = lambda k, more, total="": pack.format(k) + total + (link if more else "")
+    walk = lambda *html: values(web.walked(web.pages_of(iter(html), spark)).orderBy("page_id"), "page_id")
+    assert walk(page(0, True), page(1, True), page(2, False), page(3, True)) == [0, 1, 2]
+    assert walk(page(0, True), page(1, True, "<p>Packs 1 to 2 of 2 total</p>"), page(2, True)) == [0, 1]
+    assert walk(page(0, True), page(1, True)) == [0, 1]
+    some = web.pages_of(iter([page(k, True) for k in range(4)]), spark).where("page_id <> 2")
+    assert values(web.walked(some).orderBy("page_id"), "page_id") == [0, 1]
+
+
+def test_numbers_and_quartiles(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(-1000, 10**9), 500)
+    got = enrich.numbered(spark.createDataFrame([(k,) for k in ids], "k long"), "k", ranges=7)
+    assert {r["k"]: r["n"] for r in got.collect()} == {k: n for n, k in enumerate(sorted(ids), 1)}
+    assert enrich.numbered(spark.createDataFrame([], "k long"), "k").count() == 0
+    for cells in ([1.0], [2.0] * 9, [rng.choice([0.1, 0.5, rng.random()]) for _ in range(301)], [3.0, None, 1.0, 2.0]):
+        df = spark.createDataFrame([(x, None) for x in cells], "a double, b double")
+        rows = {r["metric"]: r for r in stats.describe(df, ["a", "b"]).collect()}
+        real = [x for x in cells if x is not None]
+        want = np.quantile(real, [0.25, 0.5, 0.75])
+        assert np.allclose([rows["a"]["q25"], rows["a"]["q50"], rows["a"]["q75"]], want) and rows["a"]["n"] == len(real)
+        assert rows["b"]["n"] == 0 and rows["b"]["q50"] is None
+
+
+def test_all_neighbours_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 20)
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(130, 5)), 2)
+    vectors[7] = vectors[8] = vectors[90]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)] + [(500, None)], "k long, v array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    like = np.round(unit @ unit.T, 12)
+    got = {(r["query"], r["rank"]): r["neighbour"] for r in nearest.all_neighbours(df, "k", "v", 4).collect()}
+    for q in range(130):
+        order = sorted((k for k in range(130) if k != q), key=lambda k: (-like[q, k], k))
+        assert [got[q, n] for n in (1, 2, 3, 4)] == order[:4]
+    assert len(got) == 130 * 4
+
+
 def test_opm_skips_no_name(spark):
     for order in ((0, 1, 2), (1, 0, 2), (1, 2, 0)):
         parts = [preset(0, "No Name", 50), preset(1, "A", 1), preset(2, "B", 2)]

@@ -77,6 +77,21 @@ def align(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
     return left.withColumn("_k", key_of_pair(F.col("Game"), F.col("Name"))).join(first, "_k", "left").select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
+def numbered(rows: DataFrame, order: str, name: str = "n", ranges: int = 64) -> DataFrame:
+    """rows with their number, from 1, in the order of a whole-number column without ties.
+
+    Ranges between quantiles of the column are numbered apart and moved by the rows before them, so that no window
+    holds more than a range. Nulls come first.
+    """
+    cuts = rows.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 10 * ranges).alias("q")).first()["q"] or []
+    part = sum([(F.col(order) > F.lit(x)).cast("int") for x in sorted(set(cuts))], F.lit(0))
+    dealt = rows.withColumn("_part", F.coalesce(part, F.lit(-1)))
+    sums = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sums.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row a range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_own", "_before")
+
+
 def by_position(frames: list[DataFrame], ordinal: str) -> DataFrame:
     """Rows side by side by an explicit ordinal; shorter frames end in nulls."""
     out = frames[0]

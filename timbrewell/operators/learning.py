@@ -21,11 +21,18 @@ AT_ONCE = 8
 
 
 def scaled(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Columns less their mean over their population deviation; constant ones become 0. Moments in one pass."""
+    """Columns less their mean over their population deviation; constant ones become 0.
+
+    The moments, two numbers a column, are taken in one pass over one array column and stand in the plan as numbers.
+    """
     columns = columns or FEATURES
-    moments = rows.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{k}") for k, c in enumerate(columns)])
-    out = {c: (F.col(c) - F.col(f"m{k}")) / F.when(F.col(f"s{k}") > 0, F.col(f"s{k}")).otherwise(1.0) for k, c in enumerate(columns)}
-    return rows.crossJoin(F.broadcast(moments)).withColumns(out).select(*rows.columns)
+    cells = rows.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("k", "v"))
+    found = {r["k"]: r for r in cells.groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")).collect()}
+    out = {}
+    for k, c in enumerate(columns):
+        mean, std = (found[k]["mean"], found[k]["std"]) if k in found else (None, None)
+        out[c] = (F.col(c) - F.lit(mean)) / F.lit(std if std and std > 0 else 1.0)
+    return rows.withColumns(out)
 
 
 def assembled(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
@@ -90,8 +97,14 @@ def _fits(vectors: DataFrame, asked: list[tuple[int, int]]) -> list:
     def task(k: int, seed: int):
         return lambda: KMeans(k=k, seed=seed, featuresCol="features", predictionCol="Cluster").fit(vectors)
 
-    with ThreadPool(min(AT_ONCE, len(asked))) as pool:
-        return pool.map(lambda f: f(), [inheritable_thread_target(vectors.sparkSession)(task(k, seed)) for k, seed in asked], 1)
+    held = vectors.is_cached
+    vectors.persist()
+    try:
+        with ThreadPool(min(AT_ONCE, len(asked))) as pool:
+            return pool.map(lambda f: f(), [inheritable_thread_target(vectors.sparkSession)(task(k, seed)) for k, seed in asked], 1)
+    finally:
+        if not held:
+            vectors.unpersist()
 
 
 def clusters(vectors: DataFrame, k: int = 7, seeds: tuple[int, ...] = RESTARTS) -> tuple[DataFrame, float]:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are broadcast together at most; more are taken block by block.
+#: Rows of a block on average.
 QUERY_BLOCK = 2000
 
 
@@ -40,44 +38,44 @@ def pick(rows: DataFrame, key: str, px: float, py: float, radius: float = 8.0) -
 
 
 def all_neighbours(rows: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
-    """query, rank, neighbour and similarity (cosine) of the k nearest of every row.
+    """query, rank, neighbour and similarity (cosine) of the k nearest of every row; rows without a vector have none.
 
-    Blocks of queries are broadcast in turn (their size is bounded), each task multiplies them with its rows and
-    keeps k for each query, and the best k of all tasks stay.
+    Rows are dealt to blocks of a bounded size and each two blocks meet in a task, which multiplies them once and keeps
+    k for each row of both; of what the tasks kept the best k stay. One plan whatever the number of blocks.
     """
-    count = rows.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    out = None
-    for block in range(blocks):
-        held = rows.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).select(key, vector).toPandas()
-        ids = held[key].to_numpy()
-        if not len(ids):
-            continue
-        queries = np.stack(held[vector].to_numpy()).astype(np.float64)
-        queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
-        part = rows.select(key, vector).mapInArrow(_nearest(ids, queries, k), "query long, neighbour long, similarity double")
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], "query long, neighbour long, similarity double, rank int")
+    rows = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select("key", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    found = met.groupBy("i", "j").applyInArrow(_two_blocks(k), "query long, neighbour long, similarity double")
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def _nearest(ids: np.ndarray, queries: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy()
-            values = batch.column(1)
-            matrix = np.asarray(values.flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-            like = np.round(queries @ matrix.T, 12)
-            like[ids[:, None] == own[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(own, like.shape), -like), axis=1)[:, :k]
-            near = np.take_along_axis(like, order, axis=1)
-            real = np.isfinite(near)
-            columns = [np.broadcast_to(ids[:, None], order.shape)[real], own[order][real], near[real]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "neighbour", "similarity"])
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _two_blocks(k: int):
+    def nearest(like: np.ndarray, ids: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        like = np.where(ids[:, None] == own[None, :], -np.inf, like)
+        if like.shape[1] > k:  # what is less than the k-th needs no order
+            least = np.partition(like, -k, axis=1)[:, -k]
+            at, of = np.nonzero((like >= least[:, None]) & np.isfinite(like))
+        else:
+            at, of = np.nonzero(np.isfinite(like))
+        order = np.lexsort((own[of], -like[at, of], at))
+        at, of = at[order], of[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        at, of = at[place < k], of[place < k]
+        return [ids[at], own[of], like[at, of]]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, own = table["key"].to_numpy(), table["own"].to_numpy()
+        matrix = np.asarray(table["v"].combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
+        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        a, b = own == i, own == j
+        like = np.round(matrix[a] @ matrix[b].T, 12)
+        parts = [nearest(like, ids[a], ids[b])] + ([nearest(like.T, ids[b], ids[a])] if i != j else [])
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["query", "neighbour", "similarity"])
 
     return run

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+QUARTILES = (0.25, 0.5, 0.75)
+RANK_CELLS = 1024
+
 
 def mode(c: str) -> Column:
     return F.mode(c, True).alias(f"{c}_mode")
@@ -45,11 +48,31 @@ def crosstab_percent(rows: DataFrame, key: str, value: str, values: list[int]) -
 
 
 def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, sample deviation, least, quartiles by linear interpolation, greatest, of each column."""
-    out = []
-    for c in columns:
-        out.append(F.struct(F.lit(c).alias("metric"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("least"), *[F.percentile(c, q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.max(c).alias("greatest")))
-    return rows.agg(F.array(*out).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    """count, mean, sample deviation, least, quartiles by linear interpolation, greatest, of each column.
+
+    Quartiles are exact and no task sees all values: values are counted, the counts of RANK_CELLS equal cells between
+    least and greatest say which cells hold the wanted ranks, and only those cells are ordered.
+    """
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")).select("s.*").where("v IS NOT NULL")
+    one = long.groupBy("metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    cell = F.when(F.col("greatest") > F.col("least"), F.floor((F.col("v") - F.col("least")) / (F.col("greatest") - F.col("least")) * RANK_CELLS)).otherwise(F.lit(0))
+    counts = long.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(one), "metric").select("metric", "v", "c", "n", cell.alias("cell"))
+    cells = counts.groupBy("metric", "cell", "n").agg(F.sum("c").alias("c"))
+    cells = cells.withColumn("before", F.sum("c").over(Window.partitionBy("metric").orderBy("cell")) - F.col("c"))
+    place = F.col("q") * (F.col("n") - 1)
+    ranks = F.explode(F.array(*[F.lit(q) for q in QUARTILES]))
+    wanted = cells.withColumn("q", ranks).withColumn("rank", F.explode(F.array(F.floor(place), F.ceil(place)))).where("rank >= before AND rank < before + c")
+    wanted = wanted.select("metric", "cell", "before", "q", "rank", place.alias("place")).distinct()
+    upto = F.sum("c").over(Window.partitionBy("metric", "cell").orderBy("v"))
+    there = counts.join(wanted.select("metric", "cell").distinct(), ["metric", "cell"], "left_semi").withColumn("upto", upto)
+    met = there.join(wanted, ["metric", "cell"]).where("rank < before + upto AND rank >= before + upto - c")
+    weight = F.when(F.floor("place") == F.ceil("place"), F.lit(1.0)).when(F.col("rank") == F.floor("place"), F.ceil("place") - F.col("place")).otherwise(F.col("place") - F.floor("place"))
+    found = met.groupBy("metric", "q").agg(F.sum(F.col("v") * weight).alias("x"))
+    wide = found.groupBy("metric").agg(*[F.max(F.when(F.col("q") == q, F.col("x"))).alias(f"q{int(q * 100)}") for q in QUARTILES])
+    order = ["metric", "n", "mean", "std", "least", *[f"q{int(q * 100)}" for q in QUARTILES], "greatest"]
+    # a column without values has a row of its own too
+    names = rows.sparkSession.createDataFrame([(c,) for c in columns], "metric string")
+    return names.join(one, "metric", "left").join(wide, "metric", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).select(*order)
 
 
 def histogram(rows: DataFrame, c: str, bins: int = 50) -> DataFrame:

@@ -427,7 +427,11 @@ def keyword_classify(spark, sf_dir):
 _CREDIT = "CASE doc_id % 4 WHEN 0 THEN ' music by Ada Byte' WHEN 1 THEN ' Ben Chord composed, soundtrack by Cy Drum' WHEN 2 THEN ' composed by Di Echo and music by Ed Fret' ELSE '' END"
 
 
-@query(f"SELECT doc_id, coalesce({', '.join(f'nullif(regexp_extract(t, {chr(39)}{p}{chr(39)}, 1), {chr(39)}{chr(39)})' for p in web.COMPOSER_PHRASES)}) AS composer FROM (SELECT doc_id, left(left(coalesce(text, ''), 200) || {_CREDIT}, 3000) AS t FROM documents)")
+_NAMED = ", ".join(f"nullif(regexp_extract(left(t, 3000), '{p}', 1), '')" for p in web.COMPOSER_PHRASES)
+_MUSIC = " OR ".join(f"contains(lower(left(t, 2000)), '{w}')" for w in web.MUSIC_WORDS)
+
+
+@query(f"SELECT doc_id, CASE WHEN {_MUSIC} THEN coalesce({_NAMED}) END AS composer FROM (SELECT doc_id, CASE {_CREDIT} WHEN '' THEN '' ELSE {_CREDIT} || ' ' END || coalesce(text, '') AS t FROM documents)")
 def pattern_priority(spark, sf_dir):
     # the credit comes first, so that the document's whole text can follow it
     text = F.concat_ws(" ", F.nullif(F.expr(_CREDIT), F.lit("")), F.coalesce("text", F.lit("")))
@@ -438,11 +442,10 @@ def pattern_priority(spark, sf_dir):
 def opm_parse(spark, sf_dir):
     """Presets written as OPM files, one for each file name, and parsed again; ids are those of the written rows."""
     rows = views.presets(spark, sf_dir)
-    names = rows.select("Filename").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("Filename")) - 1)
-    files = opm.write_text(rows).join(names, "Filename").select("file_no", F.col("Filename").alias("path"), "content")
+    files = opm.write_text(rows).select(F.lit(0).alias("file_no"), F.col("Filename").alias("path"), "content")
     place = F.row_number().over(Window.partitionBy("Filename").orderBy("preset_id")) - 1
-    ids = rows.select("preset_id", "Filename", place.alias("place")).join(names, "Filename").select(F.col("preset_id").alias("id"), (F.col("file_no") * opm.IDS_A_FILE + F.col("place")).alias("preset_id"))
-    return opm.parse(files).join(ids, "preset_id").drop("preset_id").withColumnRenamed("id", "preset_id")
+    ids = rows.select(F.col("preset_id").alias("id"), "Filename", place.cast("long").alias("preset_id"))
+    return opm.parse(files).join(ids, ["Filename", "preset_id"]).drop("preset_id").withColumnRenamed("id", "preset_id")
 
 
 @query(f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(repr(x) for x in row) + ', ' + repr('Manual') + ')' for row in web.KNOWN_COMPOSERS if row[0] in ('Golden Axe', 'Comix Zone'))}) AS t(Game, Composer, Nationality, Source)")
@@ -681,9 +684,9 @@ def display_defaults(spark, sf_dir):
 
 @query("SELECT coalesce(a.n, b.n) AS n, a.name, b.brand FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS n, c_name AS name FROM customer) a FULL JOIN (SELECT row_number() OVER (ORDER BY p_partkey) AS n, p_brand AS brand FROM part) b ON a.n = b.n")
 def positional_join(spark, sf_dir):
-    """Two tables side by side by an explicit ordinal; the window without groups is over two narrow columns."""
-    left = views.table(spark, sf_dir, "customer").select(F.row_number().over(Window.orderBy("c_custkey")).alias("n"), F.col("c_name").alias("name"))
-    right = views.table(spark, sf_dir, "part").select(F.row_number().over(Window.orderBy("p_partkey")).alias("n"), F.col("p_brand").alias("brand"))
+    """Two tables side by side by an explicit ordinal."""
+    left = enrich.numbered(views.table(spark, sf_dir, "customer"), "c_custkey").select("n", F.col("c_name").alias("name"))
+    right = enrich.numbered(views.table(spark, sf_dir, "part"), "p_partkey").select("n", F.col("p_brand").alias("brand"))
     return enrich.by_position([left, right], "n")
 
 
@@ -746,13 +749,13 @@ def pca_variance(spark, sf_dir):
 
 @query()
 def kmeans_clusters(spark, sf_dir):
-    labelled, _ = learning.clusters(_features(spark, sf_dir).persist())
+    labelled, _ = learning.clusters(_features(spark, sf_dir))
     return labelled.groupBy("Cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def elbow_sweep(spark, sf_dir):
-    found = learning.elbow(_features(spark, sf_dir).persist(), range(2, 16))
+    found = learning.elbow(_features(spark, sf_dir), range(2, 16))
     rows = found.orderBy("k").collect()
     return found.withColumn("knee", F.lit(learning.knee([r["k"] for r in rows], [r["inertia"] for r in rows])))
 

@@ -13,6 +13,7 @@ from timbrewell.schema import CHANNEL, LFO, OPERATOR, PRESET, SLOTS
 
 #: preset_id = file number * this + place in the file.
 IDS_A_FILE = 1 << 20
+_NBSP = "\u00a0"
 KINDS = {"LFO": list(LFO), "CH": list(CHANNEL)} | {s: [f"{s}_{p}" for p in OPERATOR] for s in SLOTS}
 
 
@@ -21,35 +22,26 @@ def parse(files: DataFrame) -> DataFrame:
 
     A name line opens a preset; 'no name' presets give nothing. The first LFO and the first CH line of a file are its
     header and are passed over, so lines are counted by kind and meet by their number; what is short gets nulls.
-    Tokens that are no integers become null, and tokens beyond the columns are dropped.
+    Tokens that are no integers become null, and tokens beyond the columns are dropped. A file of more presets than it
+    has ids ends the job. A file is cut, filtered and zipped within its row: nothing is shuffled.
     """
-    lines = files.select("file_no", "path", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    named = F.regexp_extract("line", r"@:(\d+)\s([^\n]+)", 1)
-    by_line = Window.partitionBy("file_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    title = F.when(named != "", F.regexp_replace(F.regexp_extract("line", r"@:(\d+)\s([^\n]+)", 2), r"^[\s ]+|[\s ]+$", ""))
-    lines = lines.withColumn("num", F.when(named != "", named.cast("int"))).withColumn("title", title)
-    lines = lines.withColumn("current", F.coalesce(F.last("title", True).over(by_line), F.lit("")))
-    kept = lines.where(F.lower("current") != "no name")
-    found = [F.when(F.col("title").isNotNull(), F.struct(F.lit("NAME").alias("kind"), F.col("title").alias("body"))).otherwise(F.lit(None))]
-    for kind in KINDS:
-        body = F.regexp_extract("line", rf"{kind}:[\s ]([^\n]+)", 1)
-        found.append(F.when(body != "", F.struct(F.lit(kind).alias("kind"), body.alias("body"))))
-    rows = kept.select("file_no", "path", "line_no", "num", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f"))
-    rows = rows.select("file_no", "path", "line_no", "num", "f.kind", "f.body")
-    ordinal = F.row_number().over(Window.partitionBy("file_no", "kind").orderBy("line_no")) - F.col("kind").isin("LFO", "CH").cast("int")
-    rows = rows.withColumn("ordinal", ordinal).where("ordinal > 0")
-    wide = rows.groupBy("file_no", "ordinal").agg(
-        F.first("path").alias("Filename"),
-        F.max(F.when(F.col("kind") == "NAME", F.col("num"))).alias("Num"),
-        F.max(F.when(F.col("kind") == "NAME", F.col("body"))).alias("Name"),
-        *[F.max(F.when(F.col("kind") == k, F.col("body"))).alias(f"_{k}") for k in KINDS],
-    )
-    columns = {}
+    blank, edges = f"(?:[^\\S\\n]|{_NBSP})", rf"^[\s{_NBSP}]+|[\s{_NBSP}]+$"
+    name = rf"@:(\d+)[^\S\n]([^\n]+)"
+    # cut before each line that holds a name; what follows a 'no name' goes with it
+    presets = F.filter(F.split("content", rf"(?dm)^(?=[^\n]*@:\d+[^\S\n][^\n])"), lambda x: F.lower(F.regexp_replace(F.regexp_extract(x, name, 2), edges, "")) != "no name")
+    kept = files.select("file_no", "path", F.array_join(presets, "").alias("_kept"))
+    bodies = {kind: F.regexp_extract_all("_kept", F.lit(rf"{kind}:{blank}([^\n]+)"), F.lit(1)) for kind in KINDS}
+    bodies |= {kind: F.slice(bodies[kind], 2, 1 << 30) for kind in ("LFO", "CH")}
+    parts = [F.regexp_extract_all("_kept", F.lit(name), F.lit(k)).alias(c) for k, c in ((1, "_num"), (2, "_title"))]
+    rows = kept.select("file_no", "path", F.posexplode(F.arrays_zip(*parts, *[b.alias(f"_{k}") for k, b in bodies.items()])).alias("ordinal", "p"))
+    rows = rows.select("file_no", F.col("path").alias("Filename"), "ordinal", "p.*")
+    columns = {"Num": F.col("_num").cast("int"), "Name": F.regexp_replace("_title", edges, "")}
     for kind, names in KINDS.items():
-        tokens = F.filter(F.split(f"_{kind}", r"[\s ]+"), lambda t: t != "")
+        tokens = F.filter(F.split(f"_{kind}", rf"[\s{_NBSP}]+"), lambda t: t != "")
         columns |= {n: F.get(tokens, F.lit(i)).try_cast("int") for i, n in enumerate(names)}
-    out = wide.withColumns(columns | {"preset_id": F.col("file_no").cast("long") * IDS_A_FILE + F.col("ordinal") - 1})
-    return out.select(*[f.name for f in PRESET.fields])
+    number = F.col("file_no").cast("long") * IDS_A_FILE + F.col("ordinal")
+    columns["preset_id"] = F.when(F.col("ordinal") < IDS_A_FILE, number).otherwise(F.raise_error(F.concat(F.lit("too many presets in "), "Filename")).cast("long"))
+    return rows.withColumns(columns).select(*[f.name for f in PRESET.fields])
 
 
 def malformed(files: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timbrewell.functions.naming import clean_game, pack_title
@@ -25,13 +25,14 @@ KNOWN_COMPOSERS = [
     ("Ecco the Dolphin", "Spencer Nilsen", "USA"),
     ("ToeJam & Earl", "John Baker", "USA"),
 ]
-# In order of rank, phrases that name a composer and words that tell a nationality.
+# In order of rank, phrases that name a composer; words without which a page is passed over; words that tell a nationality.
 COMPOSER_PHRASES = (
     r"composed by ([A-Z][a-z]+ [A-Z][a-z]+)",
     r"music by ([A-Z][a-z]+ [A-Z][a-z]+)",
     r"soundtrack by ([A-Z][a-z]+ [A-Z][a-z]+)",
     r"([A-Z][a-z]+ [A-Z][a-z]+) composed",
 )
+MUSIC_WORDS = ("composer", "music", "soundtrack")
 NATIONALITIES = (("Japan", ("japanese", "japan")), ("USA", ("american", "united states")), ("UK", ("british", "uk")), ("Europe", ("european",)))
 _ANCHOR = r"(?is)<a\b[^>]*>(.*?)</a>"
 
@@ -149,15 +150,41 @@ def packs(pages: DataFrame, source: str = "VGMrips", max_pages: int | None = Non
     return out.where(F.col("Game").isNotNull() & (F.size("Composers") > 0))
 
 
+def walked(pages: DataFrame) -> DataFrame:
+    """The listing pages that a walk from page 0 visits: it ends with a missing page, with one that has no link to a
+    next one, or with the one by which as many packs were found as the listing says there are.
+    """
+    found = packs(pages).groupBy("page_id").agg(F.count(F.lit(1)).alias("_packs"))
+    texts = F.transform(F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)), lambda x: F.regexp_replace(x, r"<[^>]*>", ""))
+    more = F.exists(texts, lambda x: x.rlike(r"(?i)next|»|&raquo;"))
+    total = F.regexp_extract("html", r"(?i)Packs[^<]*of\s+(\d+)\s+total", 1)
+    # a line of numbers for each page; the pages themselves are joined back by id
+    marks = pages.select("page_id", more.alias("_more"), F.nullif(total, F.lit("")).cast("long").alias("_total")).join(found, "page_id", "left")
+    so_far = Window.orderBy("page_id").rowsBetween(Window.unboundedPreceding, 0)
+    marks = marks.select("page_id", (~F.col("_more") | F.coalesce(F.sum(F.coalesce("_packs", F.lit(0))).over(so_far) >= F.col("_total"), F.lit(False))).alias("_last"), F.row_number().over(Window.orderBy("page_id")).alias("_n"))
+    ends = marks.agg(F.min(F.when(F.col("_last"), F.col("page_id"))).alias("_end"), F.min(F.when(F.col("_n") - 1 != F.col("page_id"), F.col("_n") - 2)).alias("_gap"))
+    return pages.join(F.broadcast(ends), F.col("page_id") <= F.least(F.coalesce("_end", F.lit((1 << 62))), F.coalesce("_gap", F.lit((1 << 62))))).drop("_end", "_gap")
+
+
 def pack_rows(found: DataFrame) -> DataFrame:
     """One row for each game and composer."""
     return found.select("page_id", "place", "Game", F.posexplode("Composers").alias("n", "Composer"), "Source")
 
 
-def composer_in(text: Column) -> Column:
-    """The composer that the first 3,000 characters name, by the first phrase that occurs."""
+def tells_of_music(text: Column, about: Column | None = None) -> Column:
+    """Whether the summary or the first 2,000 characters speak of a composer or of music."""
+    head = F.substring(text, 1, 2000)
+    low = F.lower(head if about is None else F.concat_ws(" ", F.coalesce(about, F.lit("")), head))
+    out = F.lit(False)
+    for word in MUSIC_WORDS:
+        out |= low.contains(word)
+    return out
+
+
+def composer_in(text: Column, about: Column | None = None) -> Column:
+    """The composer that the first 3,000 characters name, by the first phrase that occurs, on pages that tell of music."""
     head = F.substring(text, 1, 3000)
-    return F.coalesce(*[F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in COMPOSER_PHRASES])
+    return F.when(tells_of_music(text, about), F.coalesce(*[F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in COMPOSER_PHRASES]))
 
 
 def nationality_in(text: Column) -> Column:
@@ -173,7 +200,7 @@ def nationality_in(text: Column) -> Column:
 
 def look_up(games: DataFrame, articles: DataFrame, source: str = "Wikipedia") -> DataFrame:
     """Game, Composer, Nationality and Source from saved articles (Game, rank, text, about): the first that names one."""
-    found = articles.withColumn("Composer", composer_in(F.col("text"))).where("Composer IS NOT NULL")
+    found = articles.withColumn("Composer", composer_in(F.col("text"), F.col("about"))).where("Composer IS NOT NULL")
     first = found.groupBy("Game").agg(F.min_by(F.struct("Composer", "about"), "rank").alias("r"))
     named = first.select("Game", "r.Composer", nationality_in(F.coalesce("r.about", F.lit(""))).alias("Nationality"), F.lit(source).alias("Source"))
     return games.select("Game").distinct().join(named, "Game")

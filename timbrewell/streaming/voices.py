@@ -30,10 +30,12 @@ def releases(note_ons: DataFrame, note_offs: DataFrame, session: str = "session"
     """
     dealt = round_robin(note_ons, session, order)
     later = F.lead(order).over(Window.partitionBy(session, "channel").orderBy(order))
-    spans = dealt.withColumn("until", later).select(session, "note", "channel", F.col(order).alias("on_seq"), "until")
-    offs = note_offs.select(session, "note", F.col(order).alias("off_seq"))
-    met = spans.join(offs, [session, "note"]).where("off_seq > on_seq AND (until IS NULL OR off_seq < until)")
-    return met.groupBy(session, "channel", "on_seq").agg(F.min("off_seq").alias("off_seq")).select(session, "off_seq", "channel")
+    spans = dealt.withColumn("until", later).select(session, "note", F.col(order).alias("_at"), "channel", "until", F.lit(None).cast(note_offs.schema[order].dataType).alias("_off"))
+    offs = note_offs.select(session, "note", F.col(order).alias("_at"), F.lit(None).cast(spans.schema["channel"].dataType).alias("channel"), F.lit(None).cast(spans.schema["until"].dataType).alias("until"), F.col(order).alias("_off"))
+    # backwards, so that the last off that was met is the next one; an off at a span's own place is none of its
+    back = Window.partitionBy(session, "note").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    met = spans.unionAll(offs).withColumn("off_seq", F.last("_off", True).over(back)).where("_off IS NULL AND off_seq IS NOT NULL")
+    return met.where("until IS NULL OR off_seq < until").select(session, "off_seq", "channel")
 
 
 def last_slots(changes: DataFrame, order: str = "seq") -> DataFrame:
