@@ -137,6 +137,13 @@ def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return run
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with more underscores before it while a column has it."""
+    while name in columns:
+        name = f"_{name}"
+    return name
+
+
 def portions(batches: Iterator[pa.RecordBatch], rows: int = 2000, text: str | None = None) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows at most, and with text of 8 MB of that column or one row."""
     for batch in batches:

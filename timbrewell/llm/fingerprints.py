@@ -8,7 +8,8 @@ is below them, so roots test equality. The fingerprint is the root's SHA-256 in
 two texts differ, and common marks how like they are.
 
 Null text counts as empty: no leaves and the root of nothing. Equal texts have equal fingerprints whatever their
-other columns. Rows with one id come in the order of their texts. A single row is its own next document.
+other columns. Rows with one id come in the order of their texts; all null ids are one group, which one task
+orders. A single row is its own next document.
 """
 
 from __future__ import annotations

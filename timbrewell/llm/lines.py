@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbrewell.llm.blocks import Block, Blocks, each_block
-from timbrewell.llm.common import discard, durable, durable_at
+from timbrewell.llm.common import discard, durable, durable_at, fresh
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 #: Bits of a filter for each key of a range, and keys of a range.
@@ -188,11 +188,15 @@ def dropped(blocks: Blocks) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text cut to the lines that stay, and __lines and __dropped: the counts before and of dropped ones."""
+    """docs with text cut to the lines that stay, and __lines and __dropped: the counts before and of dropped ones.
+
+    Where docs have columns of these names, the counts' names get another underscore.
+    """
+    count, drop = fresh("__lines", docs.columns), fresh("__dropped", docs.columns)
     blocks = Blocks(docs, "lines")
     lost = dropped(blocks)
     columns = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias("text")).schema.add("__lines", "long").add("__dropped", "long")
+    schema = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias("text")).schema.add(count, "long").add(drop, "long")
 
     def cut(block: Block, verdicts: list | None) -> Iterator[pa.RecordBatch]:
         if verdicts:
@@ -208,10 +212,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             texts = block.texts()
             counts, gone = [x.count(b"\n") + 1 for x in texts], [0] * len(texts)
         held = [pa.array([x.decode() for x in texts], pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*block.extra.columns, *held], [*block.extra.schema.names, "text", "__lines", "__dropped"])
+        yield pa.RecordBatch.from_arrays([*block.extra.columns, *held], [*block.extra.schema.names, "text", count, drop])
 
     out = each_block(blocks.joined(lost), cut, schema, "lost")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__lines", "__dropped")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], count, drop)
 
 
 def line_digest(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbrewell.llm.blocks import Block, Blocks, each_block, expand, squeeze
-from timbrewell.llm.common import discard, durable
+from timbrewell.llm.common import discard, durable, fresh
 from timbrewell.llm.keys import MESSAGE, Distinct, answers_of, log_parts_of, message_batch
 
 WINDOW, GRAM = 100, 32
@@ -221,8 +221,10 @@ def _finish(block: Block, repeats: np.ndarray, whole_characters: bool) -> tuple[
 def dedup_passages(docs: DataFrame, whole_characters: bool = False, digest: bool = False) -> DataFrame:
     """docs with the bytes that stay in text, and __bytes, __removed and __spans: size before, bytes and runs removed.
 
-    text is binary, or a string if only whole characters go, or with digest the SHA-256 in hex of what stays.
+    text is binary, or a string if only whole characters go, or with digest the SHA-256 in hex of what stays. Where docs
+    have columns of these names, the counts' names get another underscore.
     """
+    added = [fresh(c, docs.columns) for c in ("__bytes", "__removed", "__spans")]
     spark = docs.sparkSession
     blocks = Blocks(docs, "passages", by_id=True, size=BLOCK_BYTES)
     total = blocks.rows.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("n")).first()["n"] * 3
@@ -281,7 +283,8 @@ def dedup_passages(docs: DataFrame, whole_characters: bool = False, digest: bool
     columns = [c for c in docs.columns if c != "text"]
     kind = "binary" if not (whole_characters or digest) else "string"
     schema = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast(kind).alias("text")).schema
-    schema = schema.add("__bytes", "long").add("__removed", "long").add("__spans", "long")
+    for c in added:
+        schema = schema.add(c, "long")
 
     def finish(block: Block, repeats: bytes | None, unsettled: bytes | None, holders: bytes | None, got: list | None) -> Iterator[pa.RecordBatch]:
         gone = _unpacked(repeats, len(block.body))
@@ -297,11 +300,11 @@ def dedup_passages(docs: DataFrame, whole_characters: bool = False, digest: bool
         else:
             texts = pa.array(kept, pa.binary())
         values = [pa.array(x.astype(np.int64)) for x in (block.sizes, removed, runs)]
-        yield pa.RecordBatch.from_arrays([*block.extra.columns, texts, *values], [*block.extra.schema.names, "text", "__bytes", "__removed", "__spans"])
+        yield pa.RecordBatch.from_arrays([*block.extra.columns, texts, *values], [*block.extra.schema.names, "text", *added])
 
     verdicts = bits.select("block", "repeats").join(narrowed, "block", "left").join(asked, "block", "left")
     out = each_block(blocks.joined(verdicts), finish, schema, "repeats", "unsettled", "holders", "answers")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__bytes", "__removed", "__spans")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *added)
 
 
 def passage_digest(docs: DataFrame) -> DataFrame:
