@@ -14,7 +14,7 @@ from timbrewell.functions import display, naming, quality, synth
 from timbrewell.operators import enrich, filters, learning, nearest, stats
 from timbrewell.schema import FEATURES, HIGHEST
 from timbrewell.sources import dmp, files, opm, web
-from timbrewell.streaming import render, voices
+from timbrewell.streaming import render, timers, voices
 
 
 def values(df, column):
@@ -347,3 +347,38 @@ def test_render(spark):
     sound = render.render({"algorithm": 7, "feedback": 0, "operators": ops}, 69, 4410, 4410)
     spectrum = np.abs(np.fft.rfft(sound))
     assert abs(np.argmax(spectrum) * render.RATE / 4410 - 440) < 15
+
+
+def test_timers_against_a_walk_over_samples():
+    """Writes at random against counters that step sample by sample."""
+    rng = random.Random(6)
+    for _ in range(40):
+        at = sorted(rng.sample(range(3000), rng.randint(1, 8)))
+        writes = [(x, rng.choice([0, 900, 1000, 1023, 700]), rng.choice([255, 250, 200]), rng.randrange(64) | rng.choice([0, 64, 128, 192])) for x in at]
+        left, status, mode, held, want = [0, 0], [False, False], 0, list(writes), []
+        a = b = 0
+        for t in range(4000):
+            left = [x - 1 if mode & (1 << k) else x for k, x in enumerate(left)]
+            if held and held[0][0] == t:
+                _, a, b, now = held.pop(0)
+                for k, period in enumerate((1024 - a, (256 - b) * 16)):
+                    if now & (1 << k) and not mode & (1 << k):
+                        left[k] = period
+                    if now & (16 << k):
+                        status[k] = False
+                mode = now
+            for k, period in enumerate((1024 - a, (256 - b) * 16)):
+                if mode & (1 << k) and left[k] <= 0:
+                    want.append((t, "AB"[k], bool(mode & (4 << k)) and not status[k], k == 0 and mode & 0xC0 == 0x80))
+                    status[k] = status[k] or bool(mode & (4 << k))
+                    left[k] = period
+        assert timers.overflows(writes, 4000) == want
+
+
+def test_blocks_and_matrices(spark, tmp_path):
+    sound = spark.createDataFrame([("j", k, float(k), -float(k)) for k in range(10)], "job string, sample int, left double, right double")
+    got = {r["block"]: (r["left"], r["right"]) for r in render.in_blocks(sound, 4, 0.5).collect()}
+    assert got[0][0] == [0.0, 0.5, 1.0, 1.5] and got[2][0] == [4.0, 4.5, 0.0, 0.0] and got[1][1] == [-2.0, -2.5, -3.0, -3.5]
+    df = spark.createDataFrame([(k, float(k), 1.0) for k in range(20)], "k long, a double, b double")
+    files.save_matrix(learning.assembled(df, ["a", "b"], "k"), str(tmp_path / "m"), "k", "features")
+    assert {r["key"]: r["values"] for r in files.read_matrix(spark, str(tmp_path / "m")).collect()} == {k: [float(k), 1.0] for k in range(20)}

@@ -17,7 +17,7 @@ from timbrewell.operators import enrich, filters, learning, nearest, stats
 from timbrewell.plans import views
 from timbrewell.schema import FEATURES, HIGHEST, LEVELS, OPERATOR, SLOTS
 from timbrewell.sources import dmp, opm, web
-from timbrewell.streaming import voices
+from timbrewell.streaming import timers, voices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -646,6 +646,16 @@ def voice_stream(spark, sf_dir):
     return spark.table(name)
 
 
+@query("""WITH p AS (SELECT p_partkey AS chip, CAST(p_partkey * 37 % 1024 AS INT) AS a, CAST(p_size AS INT) AS b, p_partkey % 3 = 0 AS csm FROM part)
+SELECT chip, sample, 'A' AS timer, sample = 1024 - a AS flagged, csm AS key_on FROM (SELECT *, unnest(range(1024 - a, 9000, 1024 - a)) AS sample FROM p)
+UNION ALL SELECT chip, sample, 'B', false, false FROM (SELECT *, unnest(range((256 - b) * 16, 9000, (256 - b) * 16)) AS sample FROM p)""")
+def chip_timers(spark, sf_dir):
+    """Both timers of a chip for each part from sample 0: A flags, B runs alone, every third chip is in CSM mode."""
+    mode = F.lit(timers.LOAD_A | timers.LOAD_B | timers.ENABLE_A) + F.when(F.col("p_partkey") % 3 == 0, timers.CSM).otherwise(0)
+    rows = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chip"), F.lit(0).alias("sample"), (F.col("p_partkey") * 37 % 1024).cast("int").alias("a"), F.col("p_size").cast("int").alias("b"), mode.alias("mode"))
+    return timers.timer_events(rows, 9000)
+
+
 @query(f"WITH {_PLAYED}, l AS (SELECT *, lag(is_on) OVER (PARTITION BY session, note ORDER BY seq) AS b FROM p) SELECT session, note AS key, seq FROM l WHERE is_on AND NOT coalesce(b, false)")
 def key_presses(spark, sf_dir):
     rows = _played(spark, sf_dir).withColumnsRenamed({"note": "key", "is_on": "down"})

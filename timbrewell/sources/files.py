@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,18 @@ def save_model(model: MLWritable, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def save_matrix(rows: DataFrame, path: str, key: str, vector: str) -> None:
+    """A matrix beside its model: key and values of each row, a vector or an array, as Parquet ordered by key."""
+    values = F.col(vector)
+    if rows.schema[vector].dataType.typeName() != "array":
+        values = vector_to_array(values)
+    rows.select(F.col(key).alias("key"), values.cast("array<double>").alias("values")).repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def sample_rows(df: DataFrame, key: str, n: int = 10_000, seed: int = 42) -> DataFrame:
     """n rows (or all) chosen by a hash of the key: the same ones each time."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RATE = 44_100
 #: For each algorithm: which operators modulate operators 2 to 4, and which are heard.
@@ -78,3 +79,11 @@ def rendered(jobs: DataFrame, samples: int = 4096) -> DataFrame:
         return pd.DataFrame({"job": key[0], "sample": np.arange(samples), "left": sound, "right": sound})
 
     return jobs.groupBy("job").applyInPandas(run, "job long, sample int, left double, right double")
+
+
+def in_blocks(sound: DataFrame, frames: int = 4096, gain: float = 1.0) -> DataFrame:
+    """job, block, left and right: the samples of each job in the buffers of an audio callback, the last one padded."""
+    block = F.floor(F.col("sample") / frames).cast("int")
+    held = sound.groupBy("job", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.pmod("sample", F.lit(frames)).alias("k"), "left", "right"))).alias("s"))
+    side = lambda c: F.slice(F.concat(F.transform("s", lambda x: x[c] * gain), F.array_repeat(F.lit(0.0), frames)), 1, frames)
+    return held.select("job", "block", side("left").alias("left"), side("right").alias("right"))
