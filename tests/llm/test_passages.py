@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from timbrewell.llm import passages
 
 
@@ -68,3 +70,26 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, text)] * 3, "doc_id long, text string")
     got = sorted(r["n_removed"] for r in passages.passage_digest(df).collect())
     assert got == [0, len(text), len(text)]
+
+
+def test_suffix_array_is_the_plain_order():
+    """Windows of phrases in the order of their bytes, equal ones in corpus order; all but the first of these repeat."""
+    rng = random.Random(8)
+    pool = ["".join(rng.choice("ab") for _ in range(rng.randint(100, 168))) for _ in range(6)]
+    phrases = [rng.choice(pool)[rng.randint(0, 3) :].ljust(100, "b").encode() for _ in range(40)] + [b"\0" * 120, b"\0" * 101]
+    lengths = np.array([len(x) for x in phrases])
+    order, again = passages.suffix_array(np.frombuffer(b"".join(phrases), np.uint8), lengths)
+    windows = [x[k : k + 100] for x in phrases for k in range(len(x) - 99)]
+    assert order.tolist() == sorted(range(len(windows)), key=lambda k: (windows[k], k))
+    seen = set()
+    for w, g in zip(windows, again.tolist(), strict=True):
+        assert g == (w in seen)
+        seen.add(w)
+
+
+def test_ranges_are_many(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(passages, "RANGE_BYTES", 500)
+    rows = texts(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, passages.passage_digest(df).collect())) == plain(rows)

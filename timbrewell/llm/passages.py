@@ -1,23 +1,24 @@
-"""Exact removal of repeated passages by a prefix-free parse of the corpus.
+"""Exact removal of repeated passages by a prefix-free parse of the corpus and its suffix array.
 
 Rolling-hash triggers cut every text into phrases: the trigger of a 100-byte window is the leftmost of its 69
-32-byte strings with the least hash, so equal windows have equal triggers. The parse is kept as ranks, not as text.
-For each phrase two keys are looked up in corpus order (doc_id, then place):
+32-byte strings with the least hash, so equal windows have equal triggers. A phrase holds the windows of one trigger,
+with the 99 bytes that its last window reaches beyond it, so each window lies in one phrase and the parse of a text is
+the list of its phrases.
 
-  - the trigger's string, which stands for the phrase in the dictionary;
-  - the phrase with the 99 bytes after it, which is the order of the parse's suffixes as far as 100 bytes can see.
+  - A trigger's string is looked up first: a phrase whose trigger occurs once in the corpus holds no repeat.
+  - The other phrases go to tasks by ranges of their triggers' hashes, once a block. A task makes its dictionary of
+    distinct phrases, in the order in which the parse has them first, and sorts all suffixes of the dictionary's phrases
+    (their windows) stably. So the dictionary's suffix array and the parse's order together give the windows in corpus
+    order: among equal neighbours the first is the first in the corpus, and all others are repeats.
+  - A phrase's block is answered one bit for each window; a phrase that occurred before is a repeat as a whole.
 
-If the second key has occurred earlier, all windows that start in the phrase are repeats. If a window's trigger is
-the first of its kind, the window is no repeat. The windows that neither settles (near the ends of repeated passages
-and at edits) name their triggers; the windows of first triggers so named join them, and these few are looked up one
-by one. The first occurrence of any window is in the first occurrence of its phrase's key, so none is missed. The
-suffixes are only grouped by their first 100 bytes, by hash, and not sorted further, since nothing else is asked of
-the suffix array. Keys are 64-bit hashes of exact byte ranges: among n keys, n * n / 2**65 false meetings are to be
-expected (about 0.00002 for 25 million).
+Phrases are compared byte by byte. Hashes only choose triggers and tasks, and say which triggers are lone and which
+phrases of one block are the same; two unlike triggers of one hash cost a needless look. Two unlike phrases of a block
+that share a 64-bit hash would be taken for one: among n phrases of a block one in 2**65 / n**2.
 
-Texts are laid out once in blocks of some 2 MB (blocks.py) and never moved: keys go out and bits come back. A block's
-keys are made distinct before they are sent, so a passage in a third of all rows costs one entry a block. Tasks look up
-a bounded range of hashes each and answer one bit for each entry. Memory follows the block, or the longest single text.
+Texts are laid out once in blocks of some 2 MB (blocks.py) and never moved: phrases go out and bits come back. A block's
+phrases are made distinct before they are sent, so a passage in a third of all rows costs one entry a block, and the
+number of ranges follows the size of the corpus. Memory follows the block, or the longest single text.
 
 Null text counts as empty; texts under 100 bytes stay whole. A null doc_id comes first. Rows with one id come in a
 fixed order (block, then text), so of repeated rows all but the first lose what they share. An empty table gives no
@@ -28,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,11 @@ from timbrewell.llm.keys import MESSAGE, Distinct, answers_of, log_parts_of, mes
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1
 BLOCK_BYTES = 2 << 20
-BITS = "block long, repeats binary, unsettled binary, holders binary"
+#: Bytes of the corpus for each task that sorts phrases; a share of them reaches it.
+RANGE_BYTES = 4 << 20
+_MASK = (1 << 64) - 1
+PHRASES = "part int, block long, body binary, lengths binary, first binary, low long, width int, places binary"
+FOUND = "block long, part int, n int, bits binary"
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -108,21 +112,6 @@ class Text:
         index[there] = np.cumsum(used)[least[there]] - 1
         return np.flatnonzero(used), index
 
-    def phrases(self, triggers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and text of each phrase: one more a text than it has triggers, if it has any."""
-        of = np.searchsorted(self.ends, triggers, "right")
-        texts = np.unique(of)
-        # a text that starts with a trigger has no phrase before it
-        heads = texts[~np.isin(self.starts[texts], triggers)]
-        at = np.concatenate([triggers, self.starts[heads]])
-        text = np.concatenate([of, heads])
-        order = np.argsort(at, kind="stable")
-        at, text = at[order], text[order]
-        to = np.append(at[1:], self.n)
-        last = np.append(text[1:] != text[:-1], True) if len(text) else np.zeros(0, bool)
-        to[last] = self.ends[text[last]]
-        return at, to, text
-
 
 def _sliding(values: np.ndarray, keep: np.ufunc) -> np.ndarray:
     """keep over each SPAN neighbours."""
@@ -144,59 +133,105 @@ def _triggers(block: Block) -> tuple[Text, np.ndarray, np.ndarray, np.ndarray, D
     return text, valid, triggers, index, Distinct(text.hashes(triggers, triggers + GRAM), np.searchsorted(text.ends, triggers, "right"))
 
 
-def _suffixes(text: Text, triggers: np.ndarray) -> tuple[np.ndarray, np.ndarray, Distinct]:
-    at, to, of = text.phrases(triggers)
-    return at, to, Distinct(text.hashes(at, np.minimum(to + WINDOW - 1, text.ends[of]) if len(at) else to), of)
+def _flat(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of runs of n from each of at."""
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _windows(block: Block, starts: np.ndarray) -> Distinct:
-    text = Text(block.body, block.sizes)
-    return Distinct(text.hashes(starts, starts + WINDOW), np.searchsorted(text.ends, starts, "right"))
-
-
-def _packed(number: int, *bits: np.ndarray) -> pa.RecordBatch:
-    """A row of bits for the bytes of a block."""
-    held = [squeeze(np.packbits(x).tobytes()) if x.any() else b"" for x in bits]
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in held)], ["block", "repeats", "unsettled", "holders"])
-
-
-def _unpacked(raw: bytes | None, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(expand(raw), np.uint8), count=n).astype(bool) if raw else np.zeros(n, bool)
-
-
-class Open:
-    """The texts of a block that have open windows, as a block of their own, and the bits of its bytes."""
-
-    def __init__(self, block: Block, unsettled: bytes, holders: bytes):
-        n = len(block.body)
-        bits = [_unpacked(x, n) for x in (unsettled, holders)]
-        upto = np.append(0, np.cumsum(bits[0] | bits[1]))
-        ends = np.cumsum(block.sizes)
-        chosen = upto[ends] > upto[ends - block.sizes]
-        self.there = np.repeat(chosen, block.sizes)
-        self.block = SimpleNamespace(number=block.number, sizes=block.sizes[chosen], body=block.body[self.there], ids=block.ids[chosen])
-        self.unsettled, self.holders = (x[self.there] for x in bits)
-        self.starts = np.flatnonzero(self.unsettled | self.holders)
-
-    def triggers(self) -> tuple[Distinct, np.ndarray]:
-        """The strings of the open windows' triggers, and which of them a window asks for."""
-        text, _, triggers, index, strings = _triggers(self.block)
-        of = index[self.starts]
-        distinct = Distinct(strings.keys[strings.of[of]], np.searchsorted(text.ends, triggers[of], "right"))
-        asks = np.zeros(len(distinct.keys), bool)
-        asks[distinct.of[self.unsettled[self.starts]]] = True
-        return distinct, asks
-
-    def narrowed(self, answers: list[dict]) -> np.ndarray:
-        """Of the block's bytes, the holders that some window asks for."""
-        distinct, _ = self.triggers()
-        asked = np.zeros(len(self.block.body), bool)
-        asked[self.starts[distinct.answer(answers, 3, "flagged")[distinct.of]]] = True
-        out = np.zeros(len(self.there), bool)
-        out[self.there] = self.holders & asked
+class Phrases:
+    """The phrases of a block whose triggers occur elsewhere too, distinct ones by ranges of their triggers' hashes."""
+
+    def __init__(self, block: Block, answers: list[dict], log_parts: int):
+        text, valid, triggers, index, strings = _triggers(block)
+        self.block, self.body = block, text.body
+        chosen = np.flatnonzero(strings.shared(answers, 0))
+        starts = np.flatnonzero(valid)
+        of = index[starts]
+        self.at = starts[np.searchsorted(of, chosen)]
+        self.windows = starts[np.searchsorted(of, chosen, "right") - 1] + 1 - self.at
+        texts = np.searchsorted(text.ends, self.at, "right")
+        self.distinct = Distinct(text.hashes(self.at, self.at + self.windows + WINDOW - 1), texts)
+        keys = strings.keys[strings.of[chosen[self.distinct.at]]]
+        order = np.argsort(keys, kind="stable")
+        #: The first occurrence of each distinct phrase, as they are sent, and where the ranges begin and end.
+        self.firsts = self.distinct.at[order]
+        self.part = (keys[order] >> np.uint64(64 - log_parts)).astype(np.int64) if log_parts else np.zeros(len(order), np.int64)
+        self.cuts = np.append(np.flatnonzero(np.append(True, self.part[1:] != self.part[:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
+
+    def messages(self) -> list[tuple]:
+        if not len(self.firsts):
+            return []
+        at, lengths = self.at[self.firsts], self.windows[self.firsts] + WINDOW - 1
+        body, upto = self.body[_flat(at, lengths)], np.append(0, np.cumsum(lengths))
+        ids = self.block.ids[self.distinct.texts[self.firsts]]
+        low = int(ids.min())
+        far = int(ids.max()) - low
+        width = 2 if far < 1 << 16 else 4 if far < 1 << 32 else 8
+        past = (ids.astype(np.uint64) - np.uint64(low & _MASK)).astype(f"<u{width}")
+        rows = []
+        for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True):
+            rows.append((int(self.part[a]), self.block.number, squeeze(body[upto[a] : upto[b]].tobytes()), lengths[a:b].astype("<u2").tobytes(), past[a:b].tobytes(), low, width, at[a:b].astype("<u4").tobytes()))
+        return rows
+
+    def repeats(self, found: list[dict]) -> np.ndarray:
+        """Which windows, by where they start, are repeats."""
+        out = np.zeros(len(self.body), bool)
+        if not len(self.firsts):
+            return out
+        bits = [np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]) for x in sorted(found, key=lambda x: x["part"])]
+        n = self.windows[self.firsts]
+        if sum(map(len, bits)) != n.sum():
+            raise ValueError("an answer is missing")
+        again = np.ones(len(self.at), bool)
+        again[self.firsts] = False
+        out[_flat(self.at[again], self.windows[again])] = True
+        out[_flat(self.at[self.firsts], n)] = np.concatenate(bits).astype(bool)
         return out
 
 
+def suffix_array(body: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the windows of phrases, which are one after another in body, and which repeat an earlier window.
+
+    Windows are numbered as they come; equal ones keep that order.
+    """
+    n = lengths - (WINDOW - 1)
+    starts = _flat(np.cumsum(lengths) - lengths, n)
+    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, WINDOW)[starts]).view(f"S{WINDOW}").ravel()
+    order = np.argsort(windows, kind="stable")
+    there = windows[order]
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = there[1:] == there[:-1]
+    return order, again
+
+
+def _sorted(table: pa.Table) -> pa.Table:
+    """For each message of a range a bit for each window of its phrases: an equal one comes earlier in the corpus."""
+    rows = table.select(["block", "part", "body", "lengths", "first", "low", "width", "places"]).to_pylist()
+    body = np.frombuffer(b"".join(expand(r["body"]) for r in rows), np.uint8)
+    lengths = [np.frombuffer(r["lengths"], "<u2").astype(np.int64) for r in rows]
+    ids = np.concatenate([(np.frombuffer(r["first"], f"<u{r['width']}").astype(np.uint64) + np.uint64(r["low"] & _MASK)).astype(np.int64) for r in rows])
+    places = np.concatenate([np.frombuffer(r["places"], "<u4") for r in rows])
+    sizes = [len(x) for x in lengths]
+    every = np.concatenate(lengths)
+    block = np.repeat(np.array([r["block"] for r in rows]), sizes)
+    # the dictionary: distinct phrases, in the order of their first places in the parse
+    ends = np.append(0, np.cumsum(every))
+    order = np.lexsort((places, block, ids))
+    phrases = pa.Array.from_buffers(pa.large_binary(), len(every), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body)]).take(pa.array(order)).dictionary_encode()
+    entry = np.empty(len(every), np.int64)
+    entry[order] = phrases.indices.to_numpy()
+    held = order[np.unique(entry[order], return_index=True)[1]]
+    _, again = suffix_array(body[_flat(ends[held], every[held])], every[held])
+    # a phrase that is not its entry's first is a repeat as a whole
+    n = every - (WINDOW - 1)
+    bits = np.ones(int(n.sum()), bool)
+    upto = np.append(0, np.cumsum(n))
+    bits[_flat(upto[held], n[held])] = again
+    cuts = upto[np.cumsum([0, *sizes])].tolist()
+    columns = [pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["part"] for r in rows], pa.int32()), pa.array(np.diff(cuts), pa.int32())]
+    return pa.Table.from_arrays([*columns, pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["block", "part", "n", "bits"])
+
+
 def _finish(block: Block, repeats: np.ndarray, whole_characters: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Removed bytes and runs of each text, and the bytes that stay."""
     n = len(block.body)
@@ -230,54 +265,22 @@ def dedup_passages(docs: DataFrame, whole_characters: bool = False, digest: bool
     total = blocks.rows.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("n")).first()["n"] * 3
     log_parts = log_parts_of(total // 35)
 
-    def ask(block: Block) -> Iterator[pa.RecordBatch]:
-        text, _, triggers, _, strings = _triggers(block)
-        suffixes = _suffixes(text, triggers)[2]
-        if rows := strings.messages(block, 0, log_parts) + suffixes.messages(block, 1, log_parts):
-            yield message_batch(rows)
+    log_ranges = log_parts_of(total, RANGE_BYTES)
 
-    def settle(block: Block, answers: list | None) -> Iterator[pa.RecordBatch]:
-        answers = answers or []
-        text, valid, triggers, index, strings = _triggers(block)
-        at, to, suffixes = _suffixes(text, triggers)
-        seen = np.flatnonzero(suffixes.later(answers, 1))
-        change = np.zeros(text.n + 1, np.int32)
-        np.add.at(change, at[seen], 1)
-        np.add.at(change, to[seen], -1)
-        repeats = (np.cumsum(change[:-1]) > 0) & valid
-        later, shared = strings.later(answers, 0), strings.shared(answers, 0)
-        unsettled, holders = np.zeros(text.n, bool), np.zeros(text.n, bool)
-        rest = np.flatnonzero(valid & ~repeats)
-        unsettled[rest] = later[index[rest]]
-        holders[rest] = (shared & ~later)[index[rest]]
-        if repeats.any() or unsettled.any() or holders.any():
-            yield _packed(block.number, repeats, unsettled, holders)
-
-    def name_triggers(block: Block, unsettled: bytes, holders: bytes) -> Iterator[pa.RecordBatch]:
-        open_ = Open(block, unsettled, holders)
-        strings, asks = open_.triggers()
-        if rows := strings.messages(open_.block, 3, log_parts, asks):
+    def ask(block: Block) -> Iterator[pa.RecordBatch]:
+        if rows := _triggers(block)[4].messages(block, 0, log_parts):
             yield message_batch(rows)
 
-    def narrow(block: Block, unsettled: bytes, holders: bytes, answers: list | None) -> Iterator[pa.RecordBatch]:
-        """Holders that nobody asks for are settled."""
-        asked = Open(block, unsettled, holders).narrowed(answers or [])
-        yield _packed(block.number, np.zeros(0, bool), _unpacked(unsettled, len(block.body)), asked)
-
-    def ask_windows(block: Block, unsettled: bytes, holders: bytes) -> Iterator[pa.RecordBatch]:
-        open_ = Open(block, unsettled, holders)
-        if rows := _windows(open_.block, open_.starts).messages(open_.block, 2, log_parts):
-            yield message_batch(rows)
+    def send(block: Block, answers: list | None) -> Iterator[pa.RecordBatch]:
+        if rows := Phrases(block, answers or [], log_ranges).messages():
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in PHRASES.split(", ")])
 
-    # what is written here is small: bits of the blocks' bytes; the messages' shuffles go as soon as it is
+    # what is written here is small, bits of the blocks; the messages' shuffles go as soon as it is
     answers = durable(answers_of(each_block(blocks.rows, ask, MESSAGE)), "answers")
     discard(spark)
-    bits = durable(each_block(blocks.joined(answers), settle, BITS, "answers"), "bits")
-    is_open = (F.length("unsettled") > 0) | (F.length("holders") > 0)
-    open_bits = bits.where(is_open).drop("repeats")
-    named = durable(answers_of(each_block(blocks.only(open_bits), name_triggers, MESSAGE, "unsettled", "holders")), "named")
-    narrowed = durable(each_block(blocks.only(open_bits.join(named, "block", "left")), narrow, BITS, "unsettled", "holders", "answers"), "narrowed").drop("repeats")
-    asked = durable(answers_of(each_block(blocks.only(narrowed.where(is_open)), ask_windows, MESSAGE, "unsettled", "holders")), "asked")
+    told = each_block(blocks.joined(answers), send, PHRASES, "answers").groupBy("part").applyInArrow(_sorted, FOUND)
+    found = durable(told.groupBy("block").agg(F.collect_list(F.struct("part", "n", "bits")).alias("found")), "found")
     discard(spark)
 
     columns = [c for c in docs.columns if c != "text"]
@@ -286,12 +289,8 @@ def dedup_passages(docs: DataFrame, whole_characters: bool = False, digest: bool
     for c in added:
         schema = schema.add(c, "long")
 
-    def finish(block: Block, repeats: bytes | None, unsettled: bytes | None, holders: bytes | None, got: list | None) -> Iterator[pa.RecordBatch]:
-        gone = _unpacked(repeats, len(block.body))
-        if unsettled or holders:
-            open_ = Open(block, unsettled, holders)
-            places = np.flatnonzero(open_.there)[open_.starts]
-            gone[places[_windows(open_.block, open_.starts).later(got or [], 2)]] = True
+    def finish(block: Block, shared: list | None, got: list | None) -> Iterator[pa.RecordBatch]:
+        gone = Phrases(block, shared or [], log_ranges).repeats(got or [])
         removed, runs, kept = _finish(block, gone, whole_characters)
         if digest:
             texts = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
@@ -302,8 +301,7 @@ def dedup_passages(docs: DataFrame, whole_characters: bool = False, digest: bool
         values = [pa.array(x.astype(np.int64)) for x in (block.sizes, removed, runs)]
         yield pa.RecordBatch.from_arrays([*block.extra.columns, texts, *values], [*block.extra.schema.names, "text", *added])
 
-    verdicts = bits.select("block", "repeats").join(narrowed, "block", "left").join(asked, "block", "left")
-    out = each_block(blocks.joined(verdicts), finish, schema, "repeats", "unsettled", "holders", "answers")
+    out = each_block(blocks.joined(answers.join(found, "block", "left")), finish, schema, "answers", "found")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *added)
 
 
