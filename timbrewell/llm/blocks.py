@@ -165,12 +165,12 @@ class Blocks:
         """The blocks that have an answer, with it."""
         return self.rows.join(answers.hint("shuffle_hash"), "block")
 
-    def remove(self) -> None:
-        """Remove the tables, once nothing reads them any more."""
-        for table, path in self._tables:
+    def remove(self, beside_only: bool = False) -> None:
+        """Remove the tables (or those beside the blocks), once nothing reads them any more."""
+        for table, path in self._tables[int(beside_only) :]:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             forget(self.spark, path)
-        self._tables = []
+        self._tables = self._tables[: int(beside_only)]
 
 
 def each_block(rows: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str, *more: str) -> DataFrame:

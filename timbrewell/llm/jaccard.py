@@ -507,6 +507,7 @@ def labelled(blocks: Blocks) -> DataFrame:
     discard(spark, rows_path)
     copies = by_block(members.where("row <> rep"), "copies")
     shared, shared_path = shared_windows(blocks, packs, copies, log_parts)
+    blocks.remove(beside_only=True)
     counts = durable(shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "counts")
     regions, regions_path = durable_at(shared.join(counts, "key"), "regions")
     discard(spark, shared_path)
