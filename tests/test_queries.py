@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from timbrewell.plans.catalog import ORACLES, QUERIES
+from timbrewell.plans.artifacts import ORACLES, QUERIES
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -13,6 +16,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, removed when the driver ends. A local session without one gets a folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="timbrewell-")
+        spark.sparkContext.setCheckpointDir(named)
+    path = f"{named.rstrip('/')}/timbrewell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        return
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """CSV with a header, by an explicit schema."""
     return spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").csv(path)
@@ -45,6 +69,12 @@ def write_features(spark: SparkSession, path: str, features: list[str], method:
     spark.createDataFrame([(method,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/embedding_method")
 
 
+def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """place and feature of a written list, and the name of the method."""
+    names = spark.read.text(f"{path}/feature_columns").select(F.posexplode(F.from_json("value", "array<string>")).alias("place", "feature"))
+    return names, spark.read.text(f"{path}/embedding_method").first()["value"]
+
+
 def save_model(model: MLWritable, path: str) -> None:
     model.write().overwrite().save(path)
 
