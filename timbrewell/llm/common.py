@@ -8,6 +8,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -177,33 +178,49 @@ class RangeGroups:
 
     The coarse ranges are quantiles of the column (at most max_ranges, so the expression is bounded); a range is
     cut into equal widths beyond that. Nulls come first. Only the column itself is read.
+
+    With hot, a value that takes up more than one range (two of 256 on large tables), and nulls, are ranges of their
+    own, which are cut by the second key of the order.
     """
 
-    def __init__(self, df: DataFrame, column: str, rows_each: int, max_ranges: int = 256):
-        stats = df.agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    def __init__(self, df: DataFrame, column: str, rows_each: int, max_ranges: int = 256, hot: bool = False):
+        stats = df.agg(F.count(F.lit(1)).alias("n"), F.count(column).alias("there"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()
         self.rows = stats["n"]
         wanted = max(1, -(-self.rows // rows_each))
         ranges = min(wanted, max_ranges)
         self.bounds: list[int] = []
+        #: Groups of each value that is a range of its own, None for nulls.
+        self.hot: dict[int | None, int] = {None: max(1, -(-(stats["n"] - stats["there"]) // rows_each))} if hot else {}
         if ranges > 1 and stats["lo"] is not None:
             at = [i / ranges for i in range(1, ranges)]
-            got = df.agg(F.percentile_approx(column, at, 20 * ranges).alias("q")).first()["q"]
-            self.bounds = sorted({int(x) for x in got})
-        self.parts = -(-wanted // max(1, ranges))
+            got = [int(x) for x in df.agg(F.percentile_approx(column, at, 20 * ranges).alias("q")).first()["q"]]
+            several = [x for x, n in Counter(got).items() if n > 1] if hot else []
+            if several:
+                sizes = df.where(F.col(column).isin(several)).groupBy(F.col(column).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()
+                self.hot |= {r["v"]: -(-r["n"] // rows_each) for r in sizes}
+            self.bounds = sorted({*got, *(x - 1 for x in several)})
+        self.width = -(-wanted // max(1, ranges))
+        self.parts = max(self.width, *self.hot.values()) if self.hot else self.width
         self.column = column
         self.edges = [stats["lo"] or 0, *self.bounds, stats["hi"] or 0]
-        self.count = (len(self.bounds) + 1) * self.parts
+        self.count = (len(self.bounds) + 1 + hot) * self.parts
 
-    def key(self) -> Column:
-        """Number of the group, in the order of the column."""
+    def key(self, second: Column | None = None) -> Column:
+        """Number of the group, in the order of the column and, for hot values, of second: longs from 0 to 2**32 - 1."""
         col = F.col(self.column).cast("long")
         if not self.bounds:
             part = F.lit(0)
         else:
             part = _between(col, self.bounds, 0, len(self.bounds))
-        if self.parts > 1:
+        sub = F.lit(0)
+        if self.width > 1:
             lows = F.array(*[F.lit(int(x)) for x in self.edges[:-1]])
-            widths = F.array(*[F.lit(max(1, -(-(int(b) - int(a) + 1) // self.parts))) for a, b in zip(self.edges, self.edges[1:], strict=False)])
+            widths = F.array(*[F.lit(max(1, -(-(int(b) - int(a) + 1) // self.width))) for a, b in zip(self.edges, self.edges[1:], strict=False)])
             sub = F.floor((col - F.element_at(lows, (part + 1).cast("int"))) / F.element_at(widths, (part + 1).cast("int")))
-            part = part.cast("long") * self.parts + F.greatest(F.lit(0), F.least(F.lit(self.parts - 1), sub))
-        return F.when(col.isNull(), F.lit(0)).otherwise(part).cast("long")
+            sub = F.greatest(F.lit(0), F.least(F.lit(self.width - 1), sub))
+        if second is not None and self.hot:
+            cut = {value: F.shiftright(second * F.lit(n).cast("long"), 32) for value, n in self.hot.items()}
+            for value in sorted(x for x in cut if x is not None):
+                sub = F.when(col == value, cut[value]).otherwise(sub)
+            return F.when(col.isNull(), cut[None]).otherwise((part.cast("long") + 1) * self.parts + sub).cast("long")
+        return F.when(col.isNull(), F.lit(0)).otherwise(part.cast("long") * self.parts + sub).cast("long")

@@ -7,8 +7,9 @@ vocabulary's). Ranks are stored in one to four bytes; two bits each, four to a c
     | control bytes | data bytes
 
 and the files are Parquet containers with a block in each row, so that Spark's committer makes them whole or absent.
-Blocks follow doc_id: neighbouring ids form a group, a task writes the blocks of a group in order. Reading decodes a
-block with one table lookup by control byte and needs no Python loop over values.
+Blocks follow doc_id: neighbouring ids form a group, a task writes the blocks of a group in order. Null ids, or an id
+that many rows have, are groups of their own, cut by ranges of checksums. Reading decodes a block with one table lookup
+by control byte and needs no Python loop over values.
 
 Null text counts as empty: the end id alone. A null doc_id comes first. Rows with one id come in the order of their
 ids' checksums; repeated rows are written as often as they occur. An empty table gives no blocks and no rows.
@@ -80,19 +81,19 @@ def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [i if t else None for i, t in zip(ids, there, strict=True)], lengths, values
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, int]:
-    """grp, doc_id, crc and ids (16-bit) of each document, written once; and the number of groups."""
-    groups = RangeGroups(docs, "doc_id", 4000)
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, rows_each: int = 4000) -> DataFrame:
+    """grp, doc_id, crc and ids (16-bit) of each document, written once."""
+    groups = RangeGroups(docs, "doc_id", rows_each, hot=True)
 
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u2").tobytes()
         every, bounds = word_tokens(tokenizer, True).encode(batch["text"])
         ids = [every[a:b].tobytes() + end for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch["grp"], batch["doc_id"], crc, pa.array(ids, pa.binary())], ["grp", "doc_id", "crc", "ids"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], crc, pa.array(ids, pa.binary())], ["doc_id", "crc", "ids"])
 
-    rows = docs.select("doc_id", "text", groups.key().alias("grp"))
-    return durable(arrow_map(rows, encode, "grp long, doc_id long, crc long, ids binary"), "ids"), groups.count
+    rows = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "doc_id long, crc long, ids binary")
+    return durable(rows.select(groups.key(F.col("crc")).alias("grp"), "doc_id", "crc", "ids"), "ids")
 
 
 def frequencies(rows: DataFrame) -> np.ndarray:
@@ -114,10 +115,10 @@ def frequencies(rows: DataFrame) -> np.ndarray:
     return found["id"].to_numpy()[order].astype(np.uint32)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, rows_each: int = 4000) -> None:
     """Files of blocks at path/blocks and the dictionary at path/dictionary."""
     spark = docs.sparkSession
-    rows, _ = tokenized(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id)
+    rows = tokenized(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id, rows_each)
     order = frequencies(rows)
     rank = np.zeros(1 << 16, np.uint32)
     rank[order] = np.arange(len(order))
@@ -180,9 +181,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return arrow_map(placed, decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, rows_each: int = 4000) -> DataFrame:
     """Writes the files, reads them back and digests them."""
     spark = docs.sparkSession
     path = shared_path(spark, "varbyte")
-    write(docs, path, tokenizer, end_id)
+    write(docs, path, tokenizer, end_id, rows_each)
     return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
