@@ -382,3 +382,26 @@ def test_blocks_and_matrices(spark, tmp_path):
     df = spark.createDataFrame([(k, float(k), 1.0) for k in range(20)], "k long, a double, b double")
     files.save_matrix(learning.assembled(df, ["a", "b"], "k"), str(tmp_path / "m"), "k", "features")
     assert {r["key"]: r["values"] for r in files.read_matrix(spark, str(tmp_path / "m")).collect()} == {k: [float(k), 1.0] for k in range(20)}
+
+
+def test_graph_map_keeps_groups_that_the_plane_mixes(spark):
+    rng, groups, each = np.random.default_rng(3), 6, 30
+    data = np.concatenate([np.eye(8)[g] * 6 + rng.normal(0, 0.5, (each, 8)) for g in range(groups)])
+    names = [f"c{k}" for k in range(8)]
+    df = spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(data)], "k long, " + ", ".join(f"{n} double" for n in names))
+    vectors = learning.assembled(df, names, "k").persist()
+
+    def together(rows):
+        at = np.array([[r["embed_x"], r["embed_y"]] for r in sorted(rows.collect(), key=lambda r: r["k"])])
+        apart = ((at[:, None] - at[None]) ** 2).sum(2)
+        np.fill_diagonal(apart, np.inf)
+        return (apart.argsort(1)[:, :10] // each == np.arange(len(at))[:, None] // each).mean()
+
+    found = learning.neighbour_map(vectors, "k", 10, 25)
+    assert together(found) > 0.95 > together(learning.plane(vectors, "k"))
+    edges = learning.fuzzy_graph(vectors, "k", 10).collect()
+    assert all(r["a"] < r["b"] and 0 < r["weight"] <= 1 for r in edges)
+    gaps = np.sqrt(((data[:, None] - data[None]) ** 2).sum(2))
+    near = {(min(i, j), max(i, j)) for i in range(len(data)) for j in np.argsort(gaps[i])[1:11].tolist()}
+    assert {(r["a"], r["b"]) for r in edges} == near
+    assert np.allclose(learning.curve(0.1), (1.577, 0.895), atol=0.01)

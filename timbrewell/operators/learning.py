@@ -12,7 +12,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timbrewell.operators.enrich import numbered
+from timbrewell.operators.nearest import all_neighbours
 from timbrewell.schema import FEATURES
+from timbrewell.sources.files import scratch
 
 #: Seeds of the restarts, of which the least inertia counts.
 RESTARTS = tuple(range(42, 52))
@@ -71,24 +74,87 @@ def plane(vectors: DataFrame, key: str) -> DataFrame:
     return model.transform(vectors).select(key, (at[0] * signs[0]).alias("embed_x"), (at[1] * signs[1]).alias("embed_y"))
 
 
-def neighbour_map(vectors: DataFrame, key: str, neighbours: int = 15, rounds: int = 10, pull: float = 0.5) -> DataFrame:
-    """The plane map with each point drawn towards the mean of its nearest neighbours in full space, round by round.
+def fuzzy_graph(vectors: DataFrame, key: str, neighbours: int = 30) -> DataFrame:
+    """a, b (a < b) and weight of the edges between nearest neighbours, each row's distances scaled by its own spread.
 
-    A light stand-in for a neighbour-graph layout: deterministic, and every round is a join of the graph with the
-    places. The lineage is cut at each round if the session has a checkpoint folder.
+    A row's weights are 1 for its nearest and fall off so that they sum to log2(neighbours), the rate found by halving;
+    the two weights of an edge are joined as the chance that one of two independent events happens.
+    """
+    near = all_neighbours(vectors.select(key, vector_to_array("features").alias("v")), key, "v", neighbours, "euclidean")
+    rows = near.groupBy("query").agg(F.collect_list(F.struct((-F.col("similarity")).alias("d"), F.col("neighbour").alias("n"))).alias("near"))
+    rows = rows.withColumn("least", F.coalesce(F.array_min(F.transform(F.filter("near", lambda x: x["d"] > 0), lambda x: x["d"])), F.lit(0.0)))
+    rows = rows.withColumn("over", F.transform("near", lambda x: F.greatest(x["d"] - F.col("least"), F.lit(0.0))))
+
+    def halved(held, _):
+        mid = (held["lo"] + held["hi"]) / 2
+        total = F.aggregate("over", F.lit(0.0), lambda s, x: s + F.exp(-x / mid))
+        much = total > float(np.log2(neighbours))
+        return F.struct(F.when(much, held["lo"]).otherwise(mid).alias("lo"), F.when(much, mid).otherwise(held["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0.0).alias("lo"), (F.array_max("over") * 20 + 1e-9).alias("hi"))
+    rows = rows.withColumn("rate", F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, halved, lambda held: held["hi"]))
+    edges = rows.select("query", "least", "rate", F.explode("near").alias("e"))
+    weight = F.exp(-F.greatest(F.col("e.d") - F.col("least"), F.lit(0.0)) / F.col("rate"))
+    edges = edges.select(F.least("query", "e.n").alias("a"), F.greatest("query", "e.n").alias("b"), weight.alias("w"))
+    return edges.groupBy("a", "b").agg((F.sum("w") - F.when(F.count(F.lit(1)) > 1, F.product("w")).otherwise(0.0)).alias("weight"))
+
+
+def curve(least: float = 0.05) -> tuple[float, float]:
+    """a and b for which 1 / (1 + a d^(2b)) comes closest to 1 up to the least distance and exp(least - d) beyond it."""
+    d = np.linspace(0.01, 3, 300)
+    wanted = np.where(d < least, 1.0, np.exp(least - d))
+    lows, highs = np.array([0.2, 0.4]), np.array([6.0, 1.6])
+    for _ in range(12):
+        a, b = (np.linspace(x, y, 15) for x, y in zip(lows, highs, strict=True))
+        off = ((1 / (1 + a[:, None, None] * d ** (2 * b[None, :, None])) - wanted) ** 2).sum(axis=2)
+        i, j = np.unravel_index(off.argmin(), off.shape)
+        best, width = np.array([a[i], b[j]]), (highs - lows) / 4
+        lows, highs = np.maximum(best - width, 0.05), best + width
+    return float(best[0]), float(best[1])
+
+
+def neighbour_map(vectors: DataFrame, key: str, neighbours: int = 30, rounds: int = 40, least: float = 0.05, others: int = 10) -> DataFrame:
+    """key, embed_x and embed_y: a layout of the graph of nearest neighbours, from the plane of two components.
+
+    In each round edges pull their ends together and each point is pushed away by some points drawn by a hash, so the
+    map is the same each time; steps get shorter. Places are written after each round: a lost executor costs tasks.
     """
-    from timbrewell.operators.nearest import all_neighbours
-
     spark = vectors.sparkSession
-    graph = all_neighbours(vectors.select(key, vector_to_array("features").alias("v")), key, "v", neighbours).select("query", "neighbour").persist()
-    places = plane(vectors, key)
-    for _ in range(rounds):
-        near = graph.join(places, graph.neighbour == places[key]).groupBy("query").agg(F.avg("embed_x").alias("nx"), F.avg("embed_y").alias("ny"))
-        joined = places.join(near, places[key] == near.query, "left")
-        places = joined.select(key, *[(F.col(f"embed_{a}") * (1 - pull) + F.coalesce(F.col(f"n{a}"), F.col(f"embed_{a}")) * pull).alias(f"embed_{a}") for a in ("x", "y")])
-        if spark.sparkContext.getCheckpointDir():
-            places = places.checkpoint()
-    return places
+    a, b = curve(least)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    edges = kept(fuzzy_graph(vectors, key, neighbours), "edges")
+    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    # of all others a point meets some each round; what they push stands for five pushes for each pull
+    pulls = both.groupBy("a").agg(F.sum("weight").alias("pulls"))
+    flat = plane(vectors, key)
+    widest = flat.agg(F.max(F.greatest(F.abs("embed_x"), F.abs("embed_y")))).first()[0] or 1.0
+    first = numbered(flat, key, "n").join(pulls.withColumnRenamed("a", key), key, "left")
+    places = kept(first.select(F.col(key).alias("k"), F.col("n").cast("long"), F.coalesce("pulls", F.lit(0.0)).alias("pulls"), *[(F.col(f"embed_{c}") * (10.0 / widest)).alias(c) for c in "xy"]), "places")
+    n = places.count()
+    own = lambda df, p, on: df.select(F.col(on).alias(f"{p}k"), *[F.col(c).alias(f"{p}{c}") for c in "xy"])
+    for r in range(rounds):
+        step = 1.0 - r / rounds
+        met = both.join(own(places, "i", "k"), F.col("a") == F.col("ik")).join(own(places, "j", "k"), F.col("b") == F.col("jk")).select("ik", "ix", "iy", "jx", "jy", "weight")
+        drawn = places.select(F.col("k").alias("ik"), F.col("x").alias("ix"), F.col("y").alias("iy"), (F.col("pulls") * (5.0 / others)).alias("weight"), F.explode(F.sequence(F.lit(1), F.lit(others))).alias("s"))
+        drawn = drawn.withColumn("other", F.pmod(F.xxhash64("ik", F.lit(r), "s"), F.lit(n)) + 1)
+        away = drawn.join(own(places, "j", "n"), F.col("other") == F.col("jk")).select("ik", "ix", "iy", "jx", "jy", "weight")
+        moves = _moves(met, -2.0 * a * b, F.pow("d", b - 1) / (1 + a * F.pow("d", b))).unionAll(_moves(away, 2.0 * b, 1 / ((F.col("d") + 0.001) * (1 + a * F.pow("d", b)))))
+        moved = moves.groupBy("ik").agg(*[F.sum(f"m{c}").alias(f"m{c}") for c in "xy"])
+        ahead = places.join(moved, F.col("k") == F.col("ik"), "left")
+        shift = {c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.coalesce(F.col(f"m{c}"), F.lit(0.0)) / F.greatest(F.col("pulls"), F.lit(1.0)))) * step for c in "xy"}
+        places = kept(ahead.select("k", "n", "pulls", *[(F.col(c) + shift[c]).alias(c) for c in "xy"]), "places")
+    return places.select(F.col("k").alias(key), F.col("x").alias("embed_x"), F.col("y").alias("embed_y"))
+
+
+def _moves(pairs: DataFrame, factor: float, share) -> DataFrame:
+    """What each pair moves its first point along the line from the second, at most 4 a weight; d is the squared distance."""
+    rows = pairs.withColumn("d", F.pow(F.col("ix") - F.col("jx"), 2) + F.pow(F.col("iy") - F.col("jy"), 2)).where("d > 0").withColumn("f", factor * share)
+    return rows.select("ik", *[(F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.col("f") * (F.col(f"i{c}") - F.col(f"j{c}")))) * F.col("weight")).alias(f"m{c}") for c in "xy"])
 
 
 def _fits(vectors: DataFrame, asked: list[tuple[int, int]]) -> list:

@@ -37,8 +37,10 @@ def pick(rows: DataFrame, key: str, px: float, py: float, radius: float = 8.0) -
     return rows.select(key, distance.alias("distance")).where(F.col("distance") < radius).orderBy("distance", key).limit(1)
 
 
-def all_neighbours(rows: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
-    """query, rank, neighbour and similarity (cosine) of the k nearest of every row; rows without a vector have none.
+def all_neighbours(rows: DataFrame, key: str, vector: str, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """query, rank, neighbour and similarity of the k nearest of every row; rows without a vector have none.
+
+    Similarity is the cosine, or with metric euclidean the distance below 0.
 
     Rows are dealt to blocks of a bounded size and each two blocks meet in a task, which multiplies them once and keeps
     k for each row of both; of what the tasks kept the best k stay. One plan whatever the number of blocks.
@@ -48,12 +50,12 @@ def all_neighbours(rows: DataFrame, key: str, vector: str, k: int = 10) -> DataF
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = met.select("key", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    found = met.groupBy("i", "j").applyInArrow(_two_blocks(k), "query long, neighbour long, similarity double")
+    found = met.groupBy("i", "j").applyInArrow(_two_blocks(k, metric), "query long, neighbour long, similarity double")
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _two_blocks(k: int):
+def _two_blocks(k: int, metric: str):
     def nearest(like: np.ndarray, ids: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
         like = np.where(ids[:, None] == own[None, :], -np.inf, like)
         if like.shape[1] > k:  # what is less than the k-th needs no order
@@ -71,10 +73,15 @@ def _two_blocks(k: int):
         table = table.combine_chunks()
         ids, own = table["key"].to_numpy(), table["own"].to_numpy()
         matrix = np.asarray(table["v"].combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        if metric == "cosine":
+            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         a, b = own == i, own == j
-        like = np.round(matrix[a] @ matrix[b].T, 12)
+        like = matrix[a] @ matrix[b].T
+        if metric == "euclidean":
+            squares = (matrix * matrix).sum(axis=1)
+            like = -np.sqrt(np.maximum(squares[a][:, None] + squares[b][None, :] - 2 * like, 0.0))
+        like = np.round(like, 12)
         parts = [nearest(like, ids[a], ids[b])] + ([nearest(like.T, ids[b], ids[a])] if i != j else [])
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["query", "neighbour", "similarity"])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from timbrewell.functions import quality, synth
 from timbrewell.operators import enrich, learning, nearest, stats
 from timbrewell.plans import views
-from timbrewell.plans.catalog import _POINTS, ORACLES, QUERIES, SCORED, _first_id, _points, query, scored
+from timbrewell.plans.catalog import _POINTS, ORACLES, QUERIES, SCORED, _features, _first_id, _points, query, scored
 from timbrewell.schema import FEATURES, PRESET
 from timbrewell.sources import dmp, files, opm, web
 
@@ -177,3 +177,9 @@ def games_for_share(spark, sf_dir):
     """How many games, the fullest first, hold 95 % of the presets: the rule that counts components."""
     counts = [r["n"] for r in stats.value_counts(views.presets(spark, sf_dir), "Game").collect()]
     return spark.createDataFrame([(learning.components_for([n / sum(counts) for n in sorted(counts, reverse=True)]),)], "games int")
+
+
+@query()
+def embed_graph(spark, sf_dir):
+    """The map by the graph of nearest neighbours."""
+    return learning.neighbour_map(_features(spark, sf_dir), "preset_id")
