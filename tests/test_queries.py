@@ -92,3 +92,9 @@ def test_sweep_and_clusters_are_whole(spark, sf_dir, monkeypatch):
     fits.clear()
     QUERIES["kmeans_clusters"](spark, sf_dir)
     assert sorted(k for k, _ in fits) == [7] * 10 and len(set(fits)) == 10
+
+
+def test_voice_stream_leaves_its_rows_in_files(spark, sf_dir):
+    rows = QUERIES["voice_stream"](spark, sf_dir)
+    assert rows.inputFiles() and rows.count() > 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("voices_")]

@@ -405,3 +405,21 @@ def test_graph_map_keeps_groups_that_the_plane_mixes(spark):
     near = {(min(i, j), max(i, j)) for i in range(len(data)) for j in np.argsort(gaps[i])[1:11].tolist()}
     assert {(r["a"], r["b"]) for r in edges} == near
     assert np.allclose(learning.curve(0.1), (1.577, 0.895), atol=0.01)
+
+
+def test_a_long_session_leaves_in_parts(monkeypatch):
+    import pandas as pd
+
+    class State:
+        exists = False
+
+        def update(self, held):
+            self.held = held
+
+    monkeypatch.setattr(voices, "ROWS_AT_ONCE", 10, raising=False)
+    events = pd.DataFrame({"seq": range(95), "note": [60 + k % 7 for k in range(95)], "is_on": [k % 4 > 0 for k in range(95)]})
+    state = State()
+    parts = list(voices._allot((1,), [events[50:], events[:50]], state))
+    assert max(map(len, parts)) <= 10 + 5  # a note-off frees at most all channels
+    rows = pd.concat(parts)
+    assert rows["seq"].is_monotonic_increasing and rows["is_on"].sum() == events["is_on"].sum() and state.held[0] == events["is_on"].sum() % 6

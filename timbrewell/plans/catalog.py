@@ -5,7 +5,6 @@ Doubles are rounded to six places on both sides, since sums of doubles depend on
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +15,7 @@ from timbrewell.functions.scores import with_scores
 from timbrewell.operators import enrich, filters, learning, nearest, stats
 from timbrewell.plans import views
 from timbrewell.schema import FEATURES, HIGHEST, LEVELS, OPERATOR, SLOTS
-from timbrewell.sources import dmp, opm, web
+from timbrewell.sources import dmp, files, opm, web
 from timbrewell.streaming import timers, voices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -636,14 +635,14 @@ u AS (SELECT *, lead(seq) OVER (PARTITION BY session, channel ORDER BY seq) AS u
 f AS (SELECT u.session, u.note, u.channel, u.seq, min(q.seq) AS off_seq FROM u JOIN p q ON NOT q.is_on AND q.session = u.session AND q.note = u.note AND q.seq > u.seq AND (u.until IS NULL OR q.seq < u.until) GROUP BY ALL)
 SELECT session, seq, note, true AS is_on, CAST(channel AS INT) AS channel FROM o UNION ALL SELECT session, off_seq, note, false, CAST(channel AS INT) FROM f""")
 def voice_stream(spark, sf_dir):
-    """The events as a stream, with the state of each session, into a memory table."""
+    """The events as a stream, with the state of each session, into files that executors write; the driver holds no rows."""
     source = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
     played = events.selectExpr("event_id AS seq", "user_id % 7 AS session", "CAST(event_id % 5 AS INT) + 60 AS note", "event_id % 3 <> 0 AS is_on")
-    name = f"voices_{uuid.uuid4().hex}"
-    stream = voices.stream_voices(played).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    rows, path = voices.stream_voices(played), files.scratch(spark, "voices")
+    stream = rows.writeStream.format("parquet").option("checkpointLocation", files.scratch(spark, "voices-state")).outputMode("append").trigger(availableNow=True).start(path)
     stream.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 @query("""WITH p AS (SELECT p_partkey AS chip, CAST(p_partkey * 37 % 1024 AS INT) AS a, CAST(p_size AS INT) AS b, p_partkey % 3 = 0 AS csm FROM part)

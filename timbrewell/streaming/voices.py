@@ -17,6 +17,9 @@ from timbrewell.functions.synth import CHANNELS
 #: Number-pad keys and their intervals from C.
 KEYS = {"Numpad0": 0, "NumpadDecimal": 1, "Numpad1": 2, "Numpad2": 3, "Numpad3": 4, "Numpad4": 5, "Numpad5": 6, "Numpad6": 7, "Numpad7": 8, "Numpad8": 9, "Numpad9": 10, "NumpadDivide": 11, "NumpadMultiply": 12}
 
+#: Rows of a session that a worker holds as Python values before they leave.
+ROWS_AT_ONCE = 50_000
+
 
 def round_robin(note_ons: DataFrame, session: str, order: str) -> DataFrame:
     """note_ons with the channel each takes: one after another, six in a circle, by session."""
@@ -56,6 +59,9 @@ def _allot(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Ite
     # a trigger's events of one session come in any order
     events = pd.concat(list(frames)).sort_values("seq")
     for seq, note, on in zip(events["seq"], events["note"], events["is_on"], strict=True):
+        if len(rows) >= ROWS_AT_ONCE:
+            yield _allotted(rows)
+            rows = []
         if on:
             notes[following] = int(note)
             rows.append((key[0], int(seq), int(note), True, following))
@@ -66,7 +72,11 @@ def _allot(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Ite
                     notes[channel] = -1
                     rows.append((key[0], int(seq), int(note), False, channel))
     state.update((following, notes))
-    yield pd.DataFrame(rows, columns=["session", "seq", "note", "is_on", "channel"])
+    yield _allotted(rows)
+
+
+def _allotted(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["session", "seq", "note", "is_on", "channel"])
 
 
 def stream_voices(events: DataFrame) -> DataFrame:
