@@ -423,3 +423,43 @@ def test_a_long_session_leaves_in_parts(monkeypatch):
     assert max(map(len, parts)) <= 10 + 5  # a note-off frees at most all channels
     rows = pd.concat(parts)
     assert rows["seq"].is_monotonic_increasing and rows["is_on"].sum() == events["is_on"].sum() and state.held[0] == events["is_on"].sum() % 6
+
+
+def test_fits_share_their_passes_and_count_copies(spark):
+    rng = np.random.default_rng(5)
+    some = np.round(rng.normal(0, 1, (150, 3)) + 4 * np.eye(3)[rng.integers(0, 3, 150)], 2)
+    data = np.concatenate([some, some[:40], some[:40], some[:1].repeat(70, axis=0)])
+    df = spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(data)], "k long, a double, b double, c double")
+    vectors = learning.assembled(df, ["a", "b", "c"], "k").repartition(3)
+    group = "sweep-of-fits"
+    spark.sparkContext.setJobGroup(group, group)
+    costs = {r["k"]: r["inertia"] for r in learning.elbow(vectors, range(2, 7)).collect()}
+    spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 250  # 50 fits, each of which had some 20 jobs of its own
+    from timbrewell.operators import means
+
+    asked = [(k, seed) for k in range(2, 7) for seed in learning.RESTARTS]
+    found = means.Sweep(vectors, asked).found()
+    for (k, _), (centres, cost) in found.items():
+        gaps = ((data[:, None] - centres[None]) ** 2).sum(2)
+        own = gaps.argmin(1)
+        assert len(centres) == k and np.isclose(cost, gaps.min(1).sum()) and cost >= costs[k] - 1e-9
+        assert np.allclose(centres, [data[own == c].mean(0) for c in range(k)], atol=2e-4)
+    few = means.Sweep(vectors.where("k < 2"), [(5, 1)]).found()[5, 1]
+    assert len(few[0]) == 2 and few[1] == 0
+    shared = means._added, means._least
+    for together, bodies in zip(shared, ([np.array([1.0, 2.0]).tobytes(), np.array([3.0, 5.0]).tobytes()],) * 2, strict=True):
+        part = together([(0, 2.0, bodies[0]), (0, 1.0, bodies[1])])
+        assert part[0] == ((3.0, np.array([4.0, 7.0]).tobytes()) if together is means._added else (1.0, bodies[1]))
+
+
+def test_sums_of_many_tasks_are_joined_before_the_driver(spark, monkeypatch):
+    from timbrewell.operators import means
+
+    df = spark.createDataFrame([(k, float(k % 50), float(k % 7)) for k in range(400)], "k long, a double, b double")
+    vectors = learning.assembled(df, ["a", "b"], "k")
+    asked = [(k, seed) for k in (2, 4) for seed in (1, 2)]
+    one = means.Sweep(vectors, asked).found()
+    monkeypatch.setattr(means, "FEW_TASKS", 0)
+    many = means.Sweep(vectors, asked).found()
+    assert all(np.allclose(one[a][0], many[a][0]) and np.isclose(one[a][1], many[a][1]) for a in asked)

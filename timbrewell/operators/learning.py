@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
 import numpy as np
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timbrewell.operators.enrich import numbered
+from timbrewell.operators.means import KMeans, Sweep
 from timbrewell.operators.nearest import all_neighbours
 from timbrewell.schema import FEATURES
 from timbrewell.sources.files import scratch
 
 #: Seeds of the restarts, of which the least inertia counts.
 RESTARTS = tuple(range(42, 52))
-#: Fits that run side by side; each is a chain of small jobs.
-AT_ONCE = 8
 
 
 def scaled(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -158,19 +153,9 @@ def _moves(pairs: DataFrame, factor: float, share) -> DataFrame:
 
 
 def _fits(vectors: DataFrame, asked: list[tuple[int, int]]) -> list:
-    """A model for each k and seed."""
-
-    def task(k: int, seed: int):
-        return lambda: KMeans(k=k, seed=seed, featuresCol="features", predictionCol="Cluster").fit(vectors)
-
-    held = vectors.is_cached
-    vectors.persist()
-    try:
-        with ThreadPool(min(AT_ONCE, len(asked))) as pool:
-            return pool.map(lambda f: f(), [inheritable_thread_target(vectors.sparkSession)(task(k, seed)) for k, seed in asked], 1)
-    finally:
-        if not held:
-            vectors.unpersist()
+    """A model for each k and seed; all go over the vectors together."""
+    sweep = Sweep(vectors, asked)
+    return [KMeans(k=k, seed=seed, featuresCol="features", predictionCol="Cluster").fit(sweep) for k, seed in asked]
 
 
 def clusters(vectors: DataFrame, k: int = 7, seeds: tuple[int, ...] = RESTARTS) -> tuple[DataFrame, float]:
