@@ -463,3 +463,17 @@ def test_sums_of_many_tasks_are_joined_before_the_driver(spark, monkeypatch):
     monkeypatch.setattr(means, "FEW_TASKS", 0)
     many = means.Sweep(vectors, asked).found()
     assert all(np.allclose(one[a][0], many[a][0]) and np.isclose(one[a][1], many[a][1]) for a in asked)
+
+
+def test_copies_share_a_place_and_link_to_other_vectors(spark):
+    rng = np.random.default_rng(4)
+    some = np.concatenate([np.eye(6)[g] * 6 + rng.normal(0, 0.5, (12, 6)) for g in range(4)])
+    data = np.concatenate([some] * 9)  # more copies than neighbours
+    names = [f"c{k}" for k in range(6)]
+    df = spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(data)], "k long, " + ", ".join(f"{n} double" for n in names))
+    rows = sorted(learning.neighbour_map(learning.assembled(df, names, "k").persist(), "k", 5, 15).collect(), key=lambda r: r["k"])
+    at = np.array([[r["embed_x"], r["embed_y"]] for r in rows])
+    assert len(at) == len(data) and (at.reshape(9, 48, 2) == at[:48]).all()
+    apart = ((at[:48, None] - at[None, :48]) ** 2).sum(2)
+    np.fill_diagonal(apart, np.inf)
+    assert (apart.argsort(1)[:, :4] // 12 == np.arange(48)[:, None] // 12).mean() > 0.95

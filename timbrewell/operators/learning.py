@@ -8,11 +8,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timbrewell.operators.enrich import numbered
+from timbrewell.operators.enrich import SMALL_DIMENSION, if_small, numbered
 from timbrewell.operators.means import KMeans, Sweep
 from timbrewell.operators.nearest import all_neighbours
 from timbrewell.schema import FEATURES
-from timbrewell.sources.files import scratch
+from timbrewell.sources.files import remove, scratch
 
 #: Seeds of the restarts, of which the least inertia counts.
 RESTARTS = tuple(range(42, 52))
@@ -60,13 +60,16 @@ def variance_table(spark, shares: list[float]) -> DataFrame:
     return rows.withColumn("upto", F.sum("share").over(Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def plane(vectors: DataFrame, key: str) -> DataFrame:
-    """key, embed_x and embed_y: a deterministic map by the first two components, signs fixed by the largest loading."""
+def plane(vectors: DataFrame, key: str, rows: DataFrame | None = None) -> DataFrame:
+    """key, embed_x and embed_y: a deterministic map by the first two components, signs fixed by the largest loading.
+
+    rows: those of the vectors that are placed, if not all.
+    """
     model = PCA(k=2, inputCol="features", outputCol="_pca").fit(vectors)
     loadings = model.pc.toArray()
     signs = [1.0 if loadings[np.abs(loadings[:, j]).argmax(), j] > 0 else -1.0 for j in range(2)]
     at = vector_to_array("_pca")
-    return model.transform(vectors).select(key, (at[0] * signs[0]).alias("embed_x"), (at[1] * signs[1]).alias("embed_y"))
+    return model.transform(vectors if rows is None else rows).select(key, (at[0] * signs[0]).alias("embed_x"), (at[1] * signs[1]).alias("embed_y"))
 
 
 def fuzzy_graph(vectors: DataFrame, key: str, neighbours: int = 30) -> DataFrame:
@@ -111,27 +114,33 @@ def curve(least: float = 0.05) -> tuple[float, float]:
 def neighbour_map(vectors: DataFrame, key: str, neighbours: int = 30, rounds: int = 40, least: float = 0.05, others: int = 10) -> DataFrame:
     """key, embed_x and embed_y: a layout of the graph of nearest neighbours, from the plane of two components.
 
-    In each round edges pull their ends together and each point is pushed away by some points drawn by a hash, so the
-    map is the same each time; steps get shorter. Places are written after each round: a lost executor costs tasks.
+    Equal vectors are one point, that of their smallest key: a row's neighbours are other vectors, not its own copies,
+    and each row gets its point's place. In each round edges pull their ends together and each point is pushed away by
+    some points drawn by a hash, so the map is the same each time; steps get shorter. Places are written after each
+    round: a lost executor costs tasks. Edges lie by their first point and are not shuffled while places are few.
     """
     spark = vectors.sparkSession
     a, b = curve(least)
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        path = scratch(spark, name)
+    def kept(df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    edges = kept(fuzzy_graph(vectors, key, neighbours), "edges")
+    points = vectors.groupBy(vector_to_array("features").alias("v")).agg(F.min(key).alias(key))
+    points = kept(points, scratch(spark, "points"))
+    own_rows = points.select(key, array_to_vector("v").alias("features"))
+    edges = kept(fuzzy_graph(own_rows, key, neighbours), scratch(spark, "edges"))
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    both = kept(both.repartition("a"), scratch(spark, "ends"))
     # of all others a point meets some each round; what they push stands for five pushes for each pull
     pulls = both.groupBy("a").agg(F.sum("weight").alias("pulls"))
-    flat = plane(vectors, key)
+    flat = plane(vectors, key, own_rows)
     widest = flat.agg(F.max(F.greatest(F.abs("embed_x"), F.abs("embed_y")))).first()[0] or 1.0
     first = numbered(flat, key, "n").join(pulls.withColumnRenamed("a", key), key, "left")
-    places = kept(first.select(F.col(key).alias("k"), F.col("n").cast("long"), F.coalesce("pulls", F.lit(0.0)).alias("pulls"), *[(F.col(f"embed_{c}") * (10.0 / widest)).alias(c) for c in "xy"]), "places")
+    places = kept(first.select(F.col(key).alias("k"), F.col("n").cast("long"), F.coalesce("pulls", F.lit(0.0)).alias("pulls"), *[(F.col(f"embed_{c}") * (10.0 / widest)).alias(c) for c in "xy"]), at := scratch(spark, "places"))
     n = places.count()
-    own = lambda df, p, on: df.select(F.col(on).alias(f"{p}k"), *[F.col(c).alias(f"{p}{c}") for c in "xy"])
+    hint = F.broadcast if n <= SMALL_DIMENSION else lambda df: df
+    own = lambda df, p, on: hint(df.select(F.col(on).alias(f"{p}k"), *[F.col(c).alias(f"{p}{c}") for c in "xy"]))
     for r in range(rounds):
         step = 1.0 - r / rounds
         met = both.join(own(places, "i", "k"), F.col("a") == F.col("ik")).join(own(places, "j", "k"), F.col("b") == F.col("jk")).select("ik", "ix", "iy", "jx", "jy", "weight")
@@ -140,10 +149,14 @@ def neighbour_map(vectors: DataFrame, key: str, neighbours: int = 30, rounds: in
         away = drawn.join(own(places, "j", "n"), F.col("other") == F.col("jk")).select("ik", "ix", "iy", "jx", "jy", "weight")
         moves = _moves(met, -2.0 * a * b, F.pow("d", b - 1) / (1 + a * F.pow("d", b))).unionAll(_moves(away, 2.0 * b, 1 / ((F.col("d") + 0.001) * (1 + a * F.pow("d", b)))))
         moved = moves.groupBy("ik").agg(*[F.sum(f"m{c}").alias(f"m{c}") for c in "xy"])
-        ahead = places.join(moved, F.col("k") == F.col("ik"), "left")
+        ahead = places.join(hint(moved), F.col("k") == F.col("ik"), "left")
         shift = {c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.coalesce(F.col(f"m{c}"), F.lit(0.0)) / F.greatest(F.col("pulls"), F.lit(1.0)))) * step for c in "xy"}
-        places = kept(ahead.select("k", "n", "pulls", *[(F.col(c) + shift[c]).alias(c) for c in "xy"]), "places")
-    return places.select(F.col("k").alias(key), F.col("x").alias("embed_x"), F.col("y").alias("embed_y"))
+        before, at = at, scratch(spark, "places")
+        places = kept(ahead.select("k", "n", "pulls", *[(F.col(c) + shift[c]).alias(c) for c in "xy"]), at)
+        remove(spark, before)
+    placed = points.select("v", F.col(key).alias("_point")).join(places.select(F.col("k").alias("_point"), F.col("x").alias("embed_x"), F.col("y").alias("embed_y")), "_point").drop("_point")
+    # a vector takes some hundred bytes, a dimension's row fewer
+    return vectors.select(key, vector_to_array("features").alias("v")).join(if_small(placed, SMALL_DIMENSION // 20), "v").select(key, "embed_x", "embed_y")
 
 
 def _moves(pairs: DataFrame, factor: float, share) -> DataFrame:

@@ -25,11 +25,12 @@ def scratch(spark: SparkSession, name: str) -> str:
         named = tempfile.mkdtemp(prefix="timbrewell-")
         spark.sparkContext.setCheckpointDir(named)
     path = f"{named.rstrip('/')}/timbrewell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Without a word if there is nothing."""
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
